@@ -1,8 +1,8 @@
 """The queries of the operators, by name, and the SQL of those that SQL can state."""
 
-from . import decontaminate, line_dedup, mixing, quality_rules, simhash
+from . import decontaminate, line_dedup, mixing, quality_rules, simhash, substring_dedup
 
-MODULES = (quality_rules, decontaminate, line_dedup, mixing, simhash)
+MODULES = (quality_rules, decontaminate, substring_dedup, line_dedup, mixing, simhash)
 
 
 def queries() -> dict:
