@@ -1,8 +1,8 @@
 """The queries of the operators, by name, and the SQL of those that SQL can state."""
 
-from . import decontaminate, line_dedup, mixing, quality_rules, simhash, substring_dedup
+from . import decontaminate, line_dedup, mixing, quality_classifier, quality_rules, simhash, substring_dedup, url_filter
 
-MODULES = (quality_rules, decontaminate, substring_dedup, line_dedup, mixing, simhash)
+MODULES = (quality_rules, decontaminate, substring_dedup, line_dedup, url_filter, mixing, quality_classifier, simhash)
 
 
 def queries() -> dict:
