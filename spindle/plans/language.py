@@ -22,12 +22,9 @@ from ..functions.paths import ascii_fold, basename, stem
 from ..operators.graph import alive_on, provenance_note
 
 #: What other query languages have and this one refuses.
-REFUSED = {
-    "OR": "disjunction", "NOT": "negation", "OPTIONAL": "optional match", "DISTINCT": "distinct", "LIMIT": "limit", "SKIP": "skip",
-    "ORDER": "ordering", "UNION": "union", "WITH": "pipelining", "COUNT": "aggregation", "SUM": "aggregation", "AVG": "aggregation",
-    "MIN": "aggregation", "MAX": "aggregation", "COLLECT": "aggregation", "LIKE": "like", "IN": "in", "EXISTS": "exists", "GROUP": "aggregation",
-    "CREATE": "writing", "DELETE": "writing", "SET": "writing", "MERGE": "writing", "CALL": "procedures", "UNWIND": "unwinding",
-}
+REFUSED = frozenset(
+    "OR NOT OPTIONAL DISTINCT LIMIT SKIP ORDER UNION WITH COUNT SUM AVG MIN MAX COLLECT LIKE IN EXISTS GROUP HAVING CREATE DELETE SET MERGE CALL UNWIND".split()
+)
 _TOKEN = re.compile(r"\s+|(?P<back><-\[?)|(?P<arrow>->)|(?P<op><=|>=|!=|=|<|>)|(?P<string>'[^']*')|(?P<number>-?\d+(?:\.\d+)?)|(?P<word>[A-Za-z_]\w*(?:-[A-Za-z_]\w*)*)|(?P<mark>[()\[\]:.,\-])")
 _WORDS = {"MATCH", "WHERE", "AND", "AS", "OF", "RETURN", "PREFIX", "CONTAINS", "NAMED"}
 
@@ -79,15 +76,15 @@ def tokenize(text: str) -> list[Token]:
         m = _TOKEN.match(text, at)
         if not m:
             bad = text[at]
-            missing = {"*": "variable-length paths", ";": "several statements"}.get(bad, f"character {bad!r}")
+            missing = {"*": "variable-length paths", ";": "statement separators"}.get(bad, f"character {bad!r}")
             raise QueryError(f"can't read {bad!r} at {at}: no {missing}", missing)
         at = m.end()
         if m.lastgroup is None:
             continue
         if m.lastgroup == "back":
-            raise QueryError("edges are written left to right", "reverse arrow")
+            raise QueryError("edges are written left to right", "reverse arrows")
         if m.lastgroup == "word" and m[0].upper() in REFUSED:
-            raise QueryError(f"{m[0]} is not part of the language", REFUSED[m[0].upper()])
+            raise QueryError(f"{m[0]} is not part of the language", m[0].upper())
         out.append(Token(m.lastgroup, m[0]))
     return out
 
@@ -119,8 +116,9 @@ class _Reader:
         return t.text
 
     def pattern(self, left: str, right: str) -> Pattern:
+        """A variable, a label after a colon, or both; what has no variable gets one that no query can write."""
         self.take("mark", left)
-        var, label = self.name(), None
+        var, label = f"#{self.i}" if self.peek().text == ":" else self.name(), None
         if self.peek().text == ":":
             self.i += 1
             label = self.take("word").text
@@ -167,7 +165,7 @@ class _Reader:
         if self.word("AS", "OF"):
             q.as_of = self.quoted()
         if not self.word("RETURN"):
-            raise QueryError("a query ends with RETURN", "RETURN")
+            raise QueryError("a query ends with a RETURN clause", "RETURN clause")
         while True:
             var = self.name()
             self.take("mark", ".")
@@ -193,12 +191,12 @@ class Catalog:
     def check_label(self, label: str) -> None:
         if self.nodes.where(F.col("subtype") == label).limit(1).isEmpty():
             known = sorted(r[0] for r in self.nodes.select("subtype").where("subtype is not null").distinct().limit(1000).collect())
-            raise QueryError(f"no label {label!r}; there are: {', '.join(known)}", "label")
+            raise QueryError(f"no label {label!r}; there are: {', '.join(known)}", f"label {label}")
 
     def check_relation(self, rel: str) -> None:
         if self.edges.where(F.col("rel") == rel).limit(1).isEmpty():
             known = sorted(r[0] for r in self.edges.select("rel").distinct().limit(1000).collect())
-            raise QueryError(f"no relation {rel!r}; there are: {', '.join(known)}", "relation")
+            raise QueryError(f"no relation {rel!r}; there are: {', '.join(known)}", f"relation {rel}")
 
 
 def _literal(column: T.DataType, value: object) -> Column | None:
@@ -238,9 +236,9 @@ def compile_query(q: Query, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     sides = {q.src.var: nodes, q.edge.var: edges, q.dst.var: nodes}
     for var, prop in [*q.returns, *[(c.var, c.prop) for c in q.where]]:
         if var not in sides:
-            raise QueryError(f"no variable {var!r}", "variable")
+            raise QueryError(f"no variable {var!r}", f"variable {var}")
         if prop is not None and prop not in sides[var].columns:
-            raise QueryError(f"no property {prop!r}; there are: {', '.join(sides[var].columns)}", "property")
+            raise QueryError(f"no property {prop!r}; there are: {', '.join(sides[var].columns)}", f"property {prop}")
     catalog = Catalog(nodes, edges)
     for p in (q.src, q.dst):
         if p.label is not None:

@@ -167,7 +167,7 @@ def _pdf_text(data: bytes) -> str:
         head = raw[:4096]
         if b"BT" not in raw or not re.search(rb"T[jJ]", raw) or sum(32 <= b < 127 or b in b"\t\n\r" for b in head) < 0.7 * len(head):
             continue
-        for t in re.finditer(rb"\(((?:[^()\\]|\\.)*)\)|(-?\d+(?:\.\d+)?)(?=\s*\])", raw):
+        for t in re.finditer(rb"\(((?:[^()\\]|\\.)*)\)|(-?\d+(?:\.\d+)?)(?=\s*[\](<])", raw):
             if t[1] is not None:
                 out.append(t[1].decode("latin-1"))
             elif abs(float(t[2])) > 100:  # a wide gap between shown pieces is a space
