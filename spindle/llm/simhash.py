@@ -1,7 +1,7 @@
 """SimHash near-dedup by covering locality-sensitive hashing.
 
-A radius-r covering family over 64 bits gives every bit position a vector of r+1 bits;
-table v (of the 2^(r+1) - 1 non-zero v) keeps the positions whose vector is orthogonal
+A radius-r covering family over 64 bits gives every bit position a non-zero vector of r+1 bits;
+table v (of the 2^(r+1) - 1 non-zero v) keeps the positions whose vector is not orthogonal
 to v. At most r differing positions span at most r dimensions, so some v is orthogonal
 to all of them: that table masks every difference and the pair meets in one bucket. No
 pair within the radius is missed. (R. Pagh, "CoveringLSH", 2016.)
@@ -70,9 +70,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def covering_masks(radius: int = RADIUS, seed: int = 1, bits: int = 64) -> list[int]:
     """The kept bits of each table of a covering family, as unsigned masks; every vector is dealt equally often."""
     size = 1 << (radius + 1)
-    dealt = [i % size for i in range(bits)]
+    dealt = [1 + i % (size - 1) for i in range(bits)]
     random.Random(seed).shuffle(dealt)
-    return [sum(1 << i for i, a in enumerate(dealt) if (a & v).bit_count() % 2 == 0) for v in range(1, size)]
+    return [sum(1 << i for i, a in enumerate(dealt) if (a & v).bit_count() % 2) for v in range(1, size)]
 
 
 def _signed(x: int) -> int:
