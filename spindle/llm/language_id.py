@@ -107,7 +107,7 @@ class BiGru:
             own = order[at : at + SIDE_BY_SIDE]
             reach = np.arange(size[own[0]])[:, None]
             inside = reach < size[own]
-            data = np.where(inside, raw[start[own] + reach], PAD).astype(np.intp)
+            data = np.where(inside, raw[start[own] + reach].astype(np.intp), PAD)  # bytes alone have no room for the padding
             p = (self.probabilities(data) * inside).sum(axis=1)
             for k in range(len(self.labels)):
                 sums[:, k] += np.bincount(owner[own], p[k], len(texts))
