@@ -77,6 +77,7 @@ class FactorisationMachine:
         n, good = len(y), float(y.sum())
         if not n or good in (0.0, float(n)):
             self.w0 = 0.0 if not n else (3.0 if good else -3.0)
+            self.v[:] = 0
             return self
         weight = np.where(y == 1, 0.5 * n / good, 0.5 * n / (n - good)).astype(np.float32)
         rng, gw, gv, g0 = np.random.default_rng(seed), np.full_like(self.w, 1e-2), np.full_like(self.v, 1e-2), 1e-2
