@@ -15,7 +15,7 @@ from .errors import CannotUpdate, ModelUnavailable, Refused
 from .operators import graph, search
 from .plans import build as plans
 from .plans import language, mesh
-from .plans.classifier import Classifier, vendored_repositories
+from .plans.classifier import Classifier, load_rules, vendored_repositories
 from .sources import documents, files, git, markdown
 from .store import Store, locked
 
@@ -25,9 +25,10 @@ PARTITIONS = {"m1": "document", "m2": "image", "m3": "markdown", "m4": "misc"}
 class Workspace:
     """Stores of all models below one folder."""
 
-    def __init__(self, spark: SparkSession, config: Config, folder: str) -> None:
+    def __init__(self, spark: SparkSession, config: Config, folder: str, rules: dict | None = None) -> None:
         self.spark, self.config, self.folder = spark, config, folder
-        self.classifier = Classifier(config.root, config.dirs("image"), config.own_owners, tuple(vendored_repositories(config.root, config.own_owners)))
+        rules = rules or load_rules()
+        self.classifier = Classifier(config.root, config.dirs("image"), config.own_owners, tuple(vendored_repositories(config.root, config.own_owners, rules)), rules)
 
     def path(self, model: str) -> str:
         return os.path.join(self.folder, model)

@@ -99,7 +99,7 @@ def document_parts(spark: SparkSession, extracted: DataFrame, root: str, extensi
         authored.select(_key("author:", F.col("author")).alias("node_key"), F.lit("author").alias("kind"), F.col("author").alias("title")),
         cites.select(F.col("dst_key").alias("node_key"), F.lit("reference").alias("kind"), F.regexp_extract("dst_key", "^ref:([a-z]+):", 1).alias("subtype"), F.regexp_replace("dst_key", "^ref:[a-z]+:", "").alias("title")),
     ]
-    token = F.regexp_extract_all("text", F.lit(documents.FILEREF.pattern.replace(r"\w", r"\p{L}\p{N}_").replace(r"[\p", r"[\p")), F.lit(1))
+    token = F.regexp_extract_all("text", F.lit("(?U)" + documents.FILEREF.pattern), F.lit(1))
     known = F.filter(F.array_distinct(token), lambda t: F.lower(F.concat(F.lit("."), F.element_at(F.split(t, r"\."), -1))).isin(*sorted(extensions)) & (F.length(stem(t)) >= 2))
     mentions = f.select("node_key", F.explode(F.slice(known, 1, FILE_REFS)).alias("token"))
     edges = [

@@ -12,7 +12,6 @@ import os
 import re
 import tomllib
 from dataclasses import dataclass, field
-from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -39,72 +38,67 @@ class Classifier:
     def _paths(self, names: list[str]) -> list[str]:
         return [n.replace("{root}", self.root.rstrip("/")) for n in names]
 
-    def decision(self, p: Column, base: Column, parent: Column, ext: Column, is_symlink: Column | None = None) -> Column:
-        """struct(label, subtype, layer, detail) of a normalised absolute path and its parts."""
-        r = self.rules
-        dirs = F.slice(F.split(p, "/"), 2, F.greatest(F.size(F.split(p, "/")) - 2, F.lit(0)))
+    def classify(self, files: DataFrame) -> DataFrame:
+        """files: (path[, is_symlink]), absolute paths, with label, subtype, layer and detail.
 
-        def out(label: str, subtype: str, layer: str, detail: Column) -> Column:
-            return F.struct(F.lit(label).alias("label"), F.lit(subtype).alias("subtype"), F.lit(layer).alias("layer"), detail.alias("detail"))
+        A first pass numbers the rule that decides; what the decision says is looked up by the number, so that no
+        condition is planned or evaluated more than once.
+        """
+        r = self.rules
 
         def globbed(c: Column, names: list[str]) -> Column:
             whole = "|".join(re.sub(r"\\Z$|\\z$", "", fnmatch.translate(n)) for n in names)
             return c.rlike(f"^(?:{whole})$") if names else F.lit(False)
 
-        def among(names: list[str]) -> Column:
-            hit = F.filter(dirs, lambda d: d.isin(*names))
+        def first_prefix(roots: list[str]) -> Column:
+            hit = F.filter(F.array(*[F.lit(x) for x in roots]), lambda x: F.startswith(F.col("__p"), x)) if roots else F.array().cast("array<string>")
             return F.get(hit, F.lit(0))
 
-        state = self._paths(r["app_state"]["prefixes"])
-        in_state = reduce(lambda c, s: c.when(p.startswith(s), F.lit(s)), state[1:], F.when(p.startswith(state[0]), F.lit(state[0])))
-        roots = sorted((v.rstrip("/") + "/" for v in self.vendored), key=len, reverse=True)
-        foreign = reduce(lambda c, v: c.when(p.startswith(v), F.lit(v)), roots, F.when(F.lit(False), F.lit(""))) if r["vendored"]["enabled"] else F.lit(None).cast("string")
-        kept = globbed(base, r["vendored"]["keep_toplevel"]) & (F.concat(parent, F.lit("/")) == foreign)
-        images = [i.rstrip("/") + "/" for i in self.image_roots]
-        inside = reduce(lambda a, b: a | b, [p.startswith(i) for i in images], F.lit(False))
-        is_image = ext.isin(*r["extensions"]["image"])
-        cached, dependency = among(r["cache"]["dirs"]), among(r["dependencies"]["dirs"])
-        link = is_symlink if is_symlink is not None and r["symlinks"]["exclude"] else F.lit(False)
-        allow = globbed(p, self._paths(r["allow"]["globs"]))
-        excluded = lambda subtype, layer, detail: out("EXCLUDED", subtype, layer, detail)
-        return (
-            F.when(base.isin(*r["secrets"]["names"]) | globbed(base, r["secrets"]["globs"]), excluded("redacted", "secrets", base))
-            .when(allow, self._category(ext, "allow"))
-            .when(cached.isNotNull(), excluded("cache", "L3_cache", F.concat(F.lit("dir "), cached)))
-            .when(globbed(base, r["cache"]["globs"]), excluded("cache", "L3_cache", F.concat(F.lit("file "), base)))
-            .when(dependency.isNotNull(), excluded("dependency", "L1_dependencies", F.concat(F.lit("dir "), dependency)))
-            .when(in_state.isNotNull(), excluded("app-state", "L2_app_state", in_state))
-            .when((parent == self.root.rstrip("/")) & base.isin(*r["app_state"]["home_files"]), excluded("app-state", "L2_app_state", F.concat(F.lit("home file "), base)))
-            .when(foreign.isNotNull() & ~kept, excluded("vendored-repo", "L4_vendored_repo", foreign))
-            .when(link, excluded("symlink", "symlinks", p))
-            .when(is_image & ~inside, excluded("image-outside-root", "image_boundary", ext))
-            .otherwise(self._category(ext, "category"))
-        )
+        def first_dir(names: list[str]) -> Column:
+            return F.get(F.array_intersect("__dirs", F.array(*[F.lit(n) for n in names])), F.lit(0))
 
-    def _category(self, ext: Column, layer: str) -> Column:
-        r = self.rules["extensions"]
-        doctype = F.try_element_at(F.create_map(*[F.lit(x) for kv in r["document"].items() for x in kv]), ext)
-
-        def out(label: str, subtype: Column, detail: Column) -> Column:
-            return F.struct(F.lit(label).alias("label"), subtype.alias("subtype"), F.lit(layer).alias("layer"), detail.alias("detail"))
-
-        dotted = F.concat(F.lit("."), ext)
-        return (
-            F.when(ext.isin(*r["image"]), out("image", F.lit("-"), F.lit("image ext")))
-            .when(ext.isin(*r["markdown"]), out("markdown", F.lit("note"), dotted))
-            .when(doctype.isNotNull(), out("document", doctype, dotted))
-            .when(ext.isin(*r["code"]), out("code", F.lit("-"), dotted))
-            .otherwise(out("misc", F.lit("unknown"), F.concat(F.lit("complement of "), ext)))
-        )
-
-    def classify(self, files: DataFrame) -> DataFrame:
-        """files: (path[, is_symlink]) with label, subtype, layer, detail."""
-        link = F.col("is_symlink") if "is_symlink" in files.columns else None
+        link = F.col("is_symlink") if "is_symlink" in files.columns and r["symlinks"]["exclude"] else F.lit(False)
+        foreign = sorted((v.rstrip("/") + "/" for v in self.vendored), key=len, reverse=True) if r["vendored"]["enabled"] else []
+        p, base, parent, ext = F.col("__p"), F.col("__base"), F.col("__parent"), F.col("__ext")
         cut = files.withColumn("__p", normalise(F.col("path")))
-        p = F.col("__p")
-        cut = cut.withColumns({"__base": basename(p), "__parent": dirname(p), "__ext": extension(p)})
-        cut = cut.withColumn("__d", self.decision(p, F.col("__base"), F.col("__parent"), F.col("__ext"), link))
-        return cut.select(*files.columns, "__d.*")
+        parts = F.split("__p", "/")
+        cut = cut.withColumns({"__base": basename(p), "__parent": dirname(p), "__ext": extension(p), "__dirs": F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))})
+        cut = cut.withColumns({
+            "__cache": first_dir(r["cache"]["dirs"]), "__dep": first_dir(r["dependencies"]["dirs"]), "__state": first_prefix(self._paths(r["app_state"]["prefixes"])),
+            "__foreign": first_prefix(foreign), "__image": first_prefix([i.rstrip("/") + "/" for i in self.image_roots]),
+        })
+        kept = globbed(base, r["vendored"]["keep_toplevel"]) & (F.concat(parent, F.lit("/")) == F.col("__foreign"))
+        rule = (
+            F.when(base.isin(*r["secrets"]["names"]) | globbed(base, r["secrets"]["globs"]), 1)
+            .when(globbed(p, self._paths(r["allow"]["globs"])), 2)
+            .when(F.col("__cache").isNotNull(), 3)
+            .when(globbed(base, r["cache"]["globs"]), 4)
+            .when(F.col("__dep").isNotNull(), 5)
+            .when(F.col("__state").isNotNull(), 6)
+            .when((parent == self.root.rstrip("/")) & base.isin(*r["app_state"]["home_files"]), 7)
+            .when(F.col("__foreign").isNotNull() & ~kept, 8)
+            .when(link, 9)
+            .when(ext.isin(*r["extensions"]["image"]) & F.col("__image").isNull(), 10)
+            .otherwise(11)
+        )
+        e = r["extensions"]
+        doctype = F.try_element_at(F.create_map(*[F.lit(x) for kv in e["document"].items() for x in kv]), ext)
+        kind = F.when(ext.isin(*e["image"]), 1).when(ext.isin(*e["markdown"]), 2).when(ext.isin(*e["document"]), 3).when(ext.isin(*e["code"]), 4).otherwise(5)
+        cut = cut.withColumns({"__rule": rule, "__kind": kind, "__doctype": doctype})
+        at = lambda i, *names: F.element_at(F.array(*[F.lit(n) for n in names]), F.col(i))
+        free = F.col("__rule").isin(2, 11)
+        subtype = F.when(F.col("__kind") == 3, F.col("__doctype")).otherwise(at("__kind", "-", "note", "-", "-", "unknown"))
+        reason = at("__rule", "redacted", "-", "cache", "cache", "dependency", "app-state", "app-state", "vendored-repo", "symlink", "image-outside-root", "-")
+        layer = at("__rule", "secrets", "allow", "L3_cache", "L3_cache", "L1_dependencies", "L2_app_state", "L2_app_state", "L4_vendored_repo", "symlinks", "image_boundary", "category")
+        why = F.when(F.col("__kind") == 1, "image ext").when(F.col("__kind") == 5, F.concat(F.lit("complement of "), ext)).otherwise(F.concat(F.lit("."), ext))
+        what = F.coalesce(
+            F.when(F.col("__rule") == 3, F.concat(F.lit("dir "), "__cache")), F.when(F.col("__rule") == 5, F.concat(F.lit("dir "), "__dep")), F.when(F.col("__rule") == 4, F.concat(F.lit("file "), base)),
+            F.when(F.col("__rule") == 6, F.col("__state")), F.when(F.col("__rule") == 8, F.col("__foreign")), F.when(F.col("__rule") == 9, p), F.when(F.col("__rule") == 10, ext), base,
+        )
+        return cut.select(
+            *files.columns, F.when(free, at("__kind", "image", "markdown", "document", "code", "misc")).otherwise("EXCLUDED").alias("label"),
+            F.when(free, subtype).otherwise(reason).alias("subtype"), layer.alias("layer"), F.when(free, why).otherwise(what).alias("detail"),
+        )
 
     def known_extensions(self) -> frozenset[str]:
         r = self.rules["extensions"]

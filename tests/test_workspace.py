@@ -3,8 +3,6 @@
 import json
 import lzma
 import os
-import shutil
-import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +11,7 @@ from spindle import cli, config, serve
 from spindle.api import Workspace
 from spindle.errors import CannotUpdate, ConfigChanged, ConfigMissing, ExportError, ImportRefused, Locked, ModelUnavailable, NotBuilt, Refused
 from spindle.plans import build
+from spindle.plans.classifier import load_rules
 from spindle.sinks import artifact, nodelink, vault
 from spindle.sources.roles import proposed
 from spindle.store import Store, locked
@@ -27,28 +26,22 @@ def put(root, name, text="x", mtime=1_780_000_000):
     return p
 
 
-def _home():
-    """A folder whose path has no part that the rules take for a cache, as /tmp."""
-    at = os.path.join(os.path.dirname(os.path.abspath(__file__)), "_corpus", uuid.uuid4().hex)
-    os.makedirs(at)
-    return at
-
-
-@pytest.fixture(scope="module", autouse=True)
-def _cleaned():
-    yield
-    shutil.rmtree(os.path.join(os.path.dirname(os.path.abspath(__file__)), "_corpus"), ignore_errors=True)
+def rules():
+    """The rules without the folders that tests run in, which they take for caches."""
+    r = load_rules()
+    r["cache"]["dirs"] = [d for d in r["cache"]["dirs"] if d not in ("tmp", "temp")]
+    return r
 
 
 @pytest.fixture(scope="module")
-def corpus():
-    root = _home()
+def corpus(tmp_path_factory):
+    root = str(tmp_path_factory.mktemp("home"))
     put(root, "notes/index.md", "# People\n[[ann]]\n# Tools\n[[loom]] [[ann]]\n")
     put(root, "notes/ann.md", "# Ann\nuses [[loom]] and [[nobody]] #weaver\n![[plot.png]] see ./loom.md\n")
     put(root, "notes/loom.md", f"# Loom\n## Parts\nruns {root}/src/weave.py and shuttle.py; [ann](ann.md)\n")
     put(root, "notes/alone.md", "nothing links here")
-    put(root, "docs/a.tex", "\\title{Alpha}\n\\author{Ann B}\n text 10.1234/abc-1 and b.tex\n")
-    put(root, "docs/b.tex", "\\title{Beta}\n\\author{Ann B}\n text\n")
+    put(root, "docs/aa.tex", "\\title{Alpha}\n\\author{Ann B}\n text 10.1234/abc-1 and bb.tex\n")
+    put(root, "docs/bb.tex", "\\title{Beta}\n\\author{Ann B}\n text\n")
     put(root, "pics/trip/03122025_1.png")
     put(root, "pics/trip/03122025_2.png")
     put(root, "pics/plot.png")
@@ -63,7 +56,7 @@ def corpus():
 @pytest.fixture(scope="module")
 def work(spark, corpus, tmp_path_factory):
     c = config.Config(corpus, {"image": ("pics",)}, index_file="notes/index.md")
-    w = Workspace(spark, c, str(tmp_path_factory.mktemp("stores")))
+    w = Workspace(spark, c, str(tmp_path_factory.mktemp("stores")), rules())
     for m in ("m1", "m2", "m3", "m4"):
         w.build(m, "2026-07-22")
     w.build_mesh("2026-07-22", code=True)
@@ -88,7 +81,7 @@ def test_markdown_model(work, corpus):
 
 def test_other_models(work, corpus):
     m1, m2, m4 = (edges(work.store(m)) for m in ("m1", "m2", "m4"))
-    a, b = f"{corpus}/docs/a.tex", f"{corpus}/docs/b.tex"
+    a, b = f"{corpus}/docs/aa.tex", f"{corpus}/docs/bb.tex"
     assert (a, "SAME_AUTHOR", b) in m1 and (a, "CITES", "ref:doi:10.1234/abc-1") in m1 and m1[a, "REFERENCES_FILE", b] == "mention" and (a, "AUTHORED_BY", "author:Ann B") in m1
     p = f"{corpus}/pics"
     assert (f"{p}/trip/03122025_1.png", "SERIES_MEMBER", "series:trip/03122025") in m2 and m2[f"{p}/plot.png", "LIKELY_COPY", f"{p}/plot_copy.png"] == "basename"
@@ -121,26 +114,26 @@ def _sets(store):
 
 
 def test_update_equals_rebuild(spark, corpus, tmp_path):
-    root = _home()
+    root = str(tmp_path / "h")
     for name, text in (("a.md", "[[b]] [[c]]"), ("b.md", "[[a]] #t"), ("c.md", "x"), ("d.md", "[[c]]")):
         put(root, name, text)
     c = config.Config(root)
-    w = Workspace(spark, c, str(tmp_path / "s"))
+    w = Workspace(spark, c, str(tmp_path / "s"), rules())
     w.build("m3", "2026-01-01")
     put(root, "a.md", "[[b]] [[new]]", 1_780_000_500)
     put(root, "new.md", "[[d]]")
     put(root, "c.md", "x", 1_780_000_900)
     os.remove(os.path.join(root, "d.md"))
     updated = w.update("m3", "2026-02-01")
-    fresh = Workspace(spark, c, str(tmp_path / "f")).build("m3", "2026-02-01")
+    fresh = Workspace(spark, c, str(tmp_path / "f"), rules()).build("m3", "2026-02-01")
     assert _sets(updated) == _sets(fresh)
     first = {r["node_key"].rsplit("/", 1)[-1]: r["first_seen"] for r in updated.nodes.collect()}
     assert first["b.md"] == "2026-01-01" and first["new.md"] == "2026-02-01"
-    assert updated.observations.count() == 6
+    assert updated.observations.count() == 7  # a, b and c on both days, new on the second
     with pytest.raises(CannotUpdate):
         w.update("m4")
     with pytest.raises(ConfigChanged):
-        Workspace(spark, config.Config(root, {"image": ("p",)}), str(tmp_path / "s")).update("m3")
+        Workspace(spark, config.Config(root, {"image": ("p",)}), str(tmp_path / "s"), rules()).update("m3")
     with pytest.raises(NotBuilt):
         build.updated(Store.empty(spark, "m3"), build.Parts(updated.nodes, updated.edges), updated.nodes, "2026-01-01")
 
