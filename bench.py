@@ -11,10 +11,9 @@ from spindle.session import session
 from spindle import workload
 
 HEADLINE = [
-    "match_one_hop", "match_label_rel", "match_confidence_lt", "match_asof", "edges_as_of", "provenance_counts", "backlinks", "degree_centrality", "neighbours_d2", "shortest_path",
-    "isolated_nodes", "fts_and", "fts_or", "fts_phrase", "bm25_stats", "vector_topk", "vector_shortlist_rerank", "hybrid_rrf", "observations_upsert", "datelist_encode", "cohort_pairs",
-    "retention_rollup", "diff_states", "upsert_edge_latest", "update_equals_rebuild", "likely_copy_chain", "co_change", "heading_in_force", "wikilink_resolution", "classify_paths",
-    "cold_rollup", "portable_keys", "filename_date",
+    "match_label_rel", "match_asof", "edges_as_of", "backlinks", "degree_centrality", "neighbours_d2", "shortest_path", "fts_and", "fts_phrase", "vector_topk", "hybrid_rrf",
+    "datelist_encode", "cohort_pairs", "retention_rollup", "diff_states", "upsert_edge_latest", "update_equals_rebuild", "co_change", "heading_in_force", "wikilink_resolution",
+    "classify_paths", "cold_rollup",
 ]
 
 
