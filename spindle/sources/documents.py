@@ -1,4 +1,7 @@
-"""Extraction from office documents, PDF and TeX. Nothing raises: what can't be read has a status that says why."""
+"""Extraction from office documents, PDF and TeX. Nothing raises: what can't be read has a status that says why.
+
+Python reads the formats, in Arrow batches; references are found in the plan, from the text that a reader hands on.
+"""
 
 from __future__ import annotations
 
@@ -6,20 +9,22 @@ import io
 import os
 import re
 import zipfile
-import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CELLS, REFS, MENTIONS, PDF_CHARS = 2000, 200, 40, 400_000
-# The forms of references and mentions.
-DOI = re.compile(r"10\.\d{4,9}/[-._;()/:A-Za-z0-9]+")
-ARXIV = re.compile(r"arXiv:\s*(\d{4}\.\d{4,5})(?:v\d+)?", re.IGNORECASE)
-URL = re.compile(r"https?://[^\s<>\"')\]}]+")
+from . import pdf
+
+CELLS, REFS = 2000, 200
+# The forms of references and mentions. A DOI ends before a bracket, where a digit runs on into a capital, and before punctuation.
+DOI = r"10\.[0-9]{4,9}/(?:(?!\)/|(?<=[0-9])\.?[A-Z])[-._;)/:A-Za-z0-9])+(?<![).,;:])"
+ARXIV = r"(?i)arXiv:\s*([0-9]{4}\.[0-9]{4,5})"
+URL = r"https?://[^\s<>\"')\]}]*[^\s<>\"')\]}.,;]"
+DOI_LEAST = 8
 FILEREF = re.compile(r"(?<![\w@/.-])((?:~/|\.{1,2}/|/)?(?:[\w.+-]+/)*[\w.+-]+\.[A-Za-z0-9]{1,8})(?![\w/])")
 DTD = re.compile(rb"<!(?:DOCTYPE|ENTITY)", re.IGNORECASE)
 
@@ -30,6 +35,8 @@ SCHEMA = T.StructType(
     [T.StructField(n, _S) for n in ("path", "doctype", "status", "text")]
     + [T.StructField("sections", T.ArrayType(SECTION)), T.StructField("metadata", T.MapType(_S, _S)), T.StructField("outbound_refs", T.ArrayType(REF)), T.StructField("problems", T.ArrayType(_S))]
 )
+#: What the readers give: keys cited by name, and the text to look for references in where it isn't `text`.
+READ = T.StructType([f for f in SCHEMA if f.name != "outbound_refs"] + [T.StructField("cited", T.ArrayType(_S)), T.StructField("searched", _S)])
 
 
 class UnsafeXML(ValueError): ...
@@ -50,32 +57,21 @@ def _all(root: ElementTree.Element, *names: str) -> list[ElementTree.Element]:
     return [e for e in root.iter() if _name(e) in names]
 
 
-def references(text: str, limit: int = REFS) -> list[dict]:
-    """DOIs, arXiv numbers and addresses, each once. A DOI ends before a bracket, where a number runs on into a capital, and before punctuation."""
-    found = []
-    for m in DOI.finditer(text or ""):
-        value = re.split(r"\)/|\(", m[0])[0]
-        value = re.sub(r"(?<=\d)\.?(?=[A-Z]).*", "", value, flags=re.DOTALL)
-        value = value.rstrip(").,;:'\"")
-        if len(value) > 7:
-            found.append(("doi", value))
-    found += [("arxiv", m[1]) for m in ARXIV.finditer(text or "")]
-    found += [("url", m[0].rstrip(".,);")) for m in URL.finditer(text or "")]
-    return [{"kind": k, "value": v} for k, v in list(dict.fromkeys(found))[:limit]]
+def references(text: Column, cited: Column | None = None) -> Column:
+    """array<struct<kind, value>>: DOIs, arXiv numbers and addresses of a text, then the keys cited by name; each once, at most REFS found ones."""
+    body = F.coalesce(text, F.lit(""))
+    dois = F.filter(F.regexp_extract_all(body, F.lit(DOI), F.lit(0)), lambda v: F.length(v) >= DOI_LEAST)
+    kinds = (("doi", dois), ("arxiv", F.regexp_extract_all(body, F.lit(ARXIV), F.lit(1))), ("url", F.regexp_extract_all(body, F.lit(URL), F.lit(0))))
 
+    def tagged(kind: str, values: Column) -> Column:
+        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
 
-def file_mentions(text: str, extensions: frozenset[str], limit: int = MENTIONS) -> list[str]:
-    """Path-shaped tokens with a known extension and a stem of two characters or more."""
-    out = {}
-    for m in FILEREF.finditer(text or ""):
-        stem, ext = os.path.splitext(os.path.basename(m[1]))
-        if len(stem) >= 2 and ext.lower() in extensions:
-            out[m[1]] = None
-    return list(out)[:limit]
+    found = F.slice(F.array_distinct(F.concat(*[tagged(k, v) for k, v in kinds])), 1, REFS)
+    return found if cited is None else F.concat(found, tagged("citekey", F.coalesce(cited, F.array().cast("array<string>"))))
 
 
 def _result(doctype: str, **what) -> dict:
-    return {"doctype": doctype, "status": "ok", "text": "", "sections": [], "metadata": {}, "outbound_refs": [], "problems": []} | what
+    return {"doctype": doctype, "status": "ok", "text": "", "sections": [], "metadata": {}, "problems": [], "cited": [], "searched": None} | what
 
 
 def _joined(parts: list[tuple[str, int]]) -> tuple[str, list[dict]]:
@@ -128,7 +124,7 @@ def office(data: bytes, ext: str) -> dict:
                 status, problems = "partial", [f"{len(cells)} cells, {CELLS} read"]
             parts = [(c, 0) for c in cells[:CELLS]]
     text, sections = _joined(parts)
-    return _result(doctype, status=status, text=text, sections=sections, metadata=meta, outbound_refs=references(text), problems=problems)
+    return _result(doctype, status=status, text=text, sections=sections, metadata=meta, problems=problems)
 
 
 def open_document(data: bytes, ext: str) -> dict:
@@ -136,7 +132,7 @@ def open_document(data: bytes, ext: str) -> dict:
     doctype = {"odp": "pptx", "ods": "xlsx"}.get(ext, "odt")
     if data.startswith(b"{\\rtf"):
         text = re.sub(r"\\'[0-9a-f]{2}|\\[a-z]+-?\d* ?|[{}]", "", data.decode("latin-1"))
-        return _result(doctype, text=text.strip(), outbound_refs=references(text))
+        return _result(doctype, text=text.strip())
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         meta = {}
         if "meta.xml" in z.namelist():
@@ -153,81 +149,54 @@ def open_document(data: bytes, ext: str) -> dict:
             level = next((int(v) for k, v in e.attrib.items() if k.endswith("outline-level") and v.isdigit()), 1) if _name(e) == "h" else 0
             parts.append(("".join(e.itertext()), level))
     text, sections = _joined(parts)
-    return _result(doctype, text=text, sections=sections, metadata=meta, outbound_refs=references(text))
-
-
-def _pdf_text(data: bytes) -> str:
-    """Text shown by content streams that are readable as such."""
-    out, size = [], 0
-    for m in re.finditer(rb"stream\r?\n(.*?)endstream", data, re.DOTALL):
-        try:
-            raw = zlib.decompress(m[1])
-        except zlib.error:
-            raw = m[1]
-        head = raw[:4096]
-        if b"BT" not in raw or not re.search(rb"T[jJ]", raw) or sum(32 <= b < 127 or b in b"\t\n\r" for b in head) < 0.7 * len(head):
-            continue
-        for t in re.finditer(rb"\(((?:[^()\\]|\\.)*)\)|(-?\d+(?:\.\d+)?)(?=\s*[\](<])", raw):
-            if t[1] is not None:
-                out.append(t[1].decode("latin-1"))
-            elif abs(float(t[2])) > 100:  # a wide gap between shown pieces is a space
-                out.append(" ")
-        out.append(" ")
-        size = sum(map(len, out))
-        if size > PDF_CHARS:
-            break
-    text = re.sub(r"\\[0-7]{1,3}", " ", "".join(out))
-    return re.sub(r"\s{3,}", "  ", re.sub(r"\\([()\\])", r"\1", text))
-
-
-def pdf_string(raw: bytes) -> str:
-    return raw[2:].decode("utf-16-be", "replace").strip() if raw.startswith(b"\xfe\xff") else re.sub(r"\\([()])", r"\1", raw.decode("latin-1")).strip()
-
-
-def pdf(data: bytes, ext: str = "pdf") -> dict:
-    if not data.startswith(b"%PDF"):
-        return _result("pdf", status="corrupt", problems=["no header"])
-    meta: dict = {}
-    for m in re.finditer(rb"/(Title|Author|Creator|Producer|Subject)\s*(?:\(((?:[^()\\]|\\.)*)\)|<([0-9A-Fa-f\s]+)>)", data):
-        digits = b"".join((m[3] or b"").split())
-        value = pdf_string(m[2] if m[2] is not None else bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode()))
-        if value:
-            meta.setdefault(m[1].decode().lower(), value)
-    counted = re.search(rb"/Count\s+(\d+)", data)
-    pages = max(len(re.findall(rb"/Type\s*/Page[^s]", data)), int(counted[1]) if counted else 0)
-    if pages:
-        meta["pages"] = str(pages)
-    text = _pdf_text(data)
-    status, problems = ("encrypted", ["encrypted; not decrypted"]) if b"/Encrypt" in data else ("ok", [])
-    if not text.strip():
-        text = ""
-        if status == "ok":
-            status = "needs_ocr" if b"/Font" in data else "partial"
-            problems = ["no text recovered"]
-    return _result("pdf", status=status, text=text, metadata=meta, outbound_refs=references(text or data.decode("latin-1")), problems=problems)
-
-
-def _tex(value: str) -> str:
-    return " ".join(re.sub(r"\\[a-zA-Z]+\s*|[{}]", lambda m: " " if m[0][0] == "\\" else "", value).replace("--", "-").split())
+    return _result(doctype, text=text, sections=sections, metadata=meta)
+
+
+def portable(data: bytes, ext: str = "pdf") -> dict:
+    """PDF. Where no text is recovered, references are looked for in the bytes themselves."""
+    found = pdf.read(data)
+    return _result("pdf", **found, searched=None if found.get("text") else data.decode("latin-1"))
+
+
+TEX_COMMAND = re.compile(r"\\(title|author|(?:sub){0,2}section|cite[a-z]*)\*?\s*(?:\[[^\]]*\]\s*)*\{")
+
+
+def _argument(text: str, at: int) -> str:
+    """What stands in the braces that were opened before `at`, inner braces counted."""
+    depth = 1
+    for m in re.compile(r"\\.|[{}]", re.DOTALL).finditer(text, at):
+        depth += (m[0] == "{") - (m[0] == "}")
+        if not depth:
+            return text[at : m.start()]
+    return text[at:]
+
+
+def _plain(value: str) -> str:
+    """A TeX argument as text: commands and braces gone, dashes single, blanks collapsed."""
+    words = (w.translate({123: None, 125: None}) for w in re.split(r"(?:\\[a-zA-Z]+|\s|~)+", value))
+    return " ".join(w.replace("--", "-") for w in words if w)
 
 
 def tex(data: bytes, ext: str = "tex") -> dict:
     text = data.decode("utf-8", "replace")
-    meta = {}
-    if m := re.search(r"\\title\{(.+?)\}\s*(?:\n|%|\\)", text, re.DOTALL):
-        meta["title"] = _tex(m[1])
-    if m := re.search(r"\\author\{(.+?)\}\s*(?:\n|%|\\date)", text, re.DOTALL):
-        meta["author"] = _tex(m[1].split("\\\\")[0])
-    sections = [{"level": 1 + m[1].count("sub"), "title": _tex(m[2]), "offset": m.start()} for m in re.finditer(r"\\((?:sub)*)section\*?\{([^}]*)\}", text)]
-    keys = [k.strip() for m in re.finditer(r"\\cite[tp]?\*?(?:\[[^\]]*\])*\{([^}]*)\}", text) for k in m[1].split(",") if k.strip()]
-    return _result("tex", text=text, sections=sections, metadata=meta, outbound_refs=references(text) + [{"kind": "citekey", "value": k} for k in keys])
+    meta: dict[str, str] = {}
+    sections, cited = [], {}
+    for m in TEX_COMMAND.finditer(text):
+        command, value = m[1], _argument(text, m.end())
+        if command.startswith("cite"):
+            cited |= dict.fromkeys(filter(None, map(str.strip, value.split(","))))
+        elif command.endswith("section"):
+            sections.append({"level": 1 + command.count("sub"), "title": _plain(value), "offset": m.start()})
+        else:  # what follows a line break in an author's name is the place
+            meta.setdefault(command, _plain(value.partition(r"\\")[0] if command == "author" else value))
+    return _result("tex", text=text, sections=sections, metadata={k: v for k, v in meta.items() if v}, cited=list(cited))
 
 
-EXTRACTORS = {**dict.fromkeys(("docx", "doc", "pptx", "ppt", "xlsx", "xls"), office), **dict.fromkeys(("odt", "odp", "ods", "rtf"), open_document), "pdf": pdf, "tex": tex}
+EXTRACTORS = {**dict.fromkeys(("docx", "doc", "pptx", "ppt", "xlsx", "xls"), office), **dict.fromkeys(("odt", "odp", "ods", "rtf"), open_document), "pdf": portable, "tex": tex}
 
 
 def extract(path: str, data: bytes | None) -> dict:
-    """The fields of SCHEMA but the path."""
+    """The fields of READ but the path."""
     ext = os.path.splitext(path)[1].lower().lstrip(".")
     if ext not in EXTRACTORS:
         return _result("unknown", status="missing_extractor", problems=[f"no extractor for .{ext}"])
@@ -243,6 +212,7 @@ def extracted(files: DataFrame) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = [{"path": p} | extract(p, None if c is None else bytes(c)) for p, c in zip(part["path"], part["content"], strict=True)]
-            yield pd.DataFrame(rows, columns=SCHEMA.names)
+            yield pd.DataFrame(rows, columns=READ.names)
 
-    return files.select("path", F.col("content")).mapInPandas(run, SCHEMA)
+    read = files.select("path", F.col("content")).mapInPandas(run, READ)
+    return read.withColumn("outbound_refs", references(F.coalesce("searched", "text"), F.col("cited"))).select(*SCHEMA.names)

@@ -2,6 +2,7 @@
 
 import io
 import zipfile
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,8 +104,6 @@ def test_office_documents():
     body = f'<w:document {w}><w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>Head</w:t></w:r></w:p><w:p><w:r><w:t>10.1234/abcd-25-00031-5Next and appendix-b.pdf</w:t></w:r></w:p></w:document>'
     got = documents.extract("a.docx", _zip({"docProps/core.xml": core, "word/document.xml": body}))
     assert got["status"] == "ok" and got["metadata"] == {"author": "Ann", "title": "T"} and got["sections"] == [{"level": 1, "title": "Head", "offset": 0}]
-    assert got["outbound_refs"] == [{"kind": "doi", "value": "10.1234/abcd-25-00031-5"}]
-    assert documents.file_mentions(got["text"], frozenset({".pdf"})) == ["appendix-b.pdf"]
     slide = '<s xmlns:a="x"><a:p><a:t>First</a:t></a:p><a:p><a:t>rest</a:t></a:p></s>'
     assert documents.extract("a.pptx", _zip({"ppt/slides/slide1.xml": slide}))["sections"][0]["title"] == "First"
     sheet = '<w><row><c t="s"><v>0</v></c><c><v>5</v></c></row></w>'
@@ -126,7 +125,47 @@ def test_pdf_and_tex():
     assert documents.extract("a.pdf", b"%PDF /Encrypt")["status"] == "encrypted" and documents.extract("a.pdf", b"x")["status"] == "corrupt"
     got = documents.extract("a.tex", b"\\title{A \\emph{b}}\n\\author{Ann\\\\Place}\n\\section{S}\\subsection*{T} \\citep[x]{k1, k2}")
     assert got["metadata"] == {"title": "A b", "author": "Ann"} and [s["level"] for s in got["sections"]] == [1, 2]
-    assert [r["value"] for r in got["outbound_refs"]] == ["k1", "k2"]
+    assert got["cited"] == ["k1", "k2"]
+
+
+REFERENCES = [
+    ("see 10.1234/abcd-25-00031-5Next and more", ["10.1234/abcd-25-00031-5"]),
+    ("raw 10.1038/s44260-025-00031-5)/Author(Ann)", ["10.1038/s44260-025-00031-5"]),
+    ("10.1103/PhysRevLett.1.2, (10.1016/j.x.2022.101866.) 10.1/x", ["10.1103/PhysRevLett.1.2", "10.1016/j.x.2022.101866"]),
+    ("arXiv: 2101.01234v2 https://a.b/c. https://a.b/c, http://x)", ["2101.01234", "https://a.b/c", "http://x"]),
+    ("", []), (None, []),
+]
+
+
+def test_references(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(REFERENCES)], "i long, t string")
+    got = {r["i"]: [x["value"] for x in r["r"]] for r in df.select("i", documents.references(F.col("t")).alias("r")).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(REFERENCES)}
+
+
+def test_pdf_syntax():
+    content = zlib.compress(b"q BT /F1 12 Tf (A\\(b\\) \\344) Tj 0 -12 Td <4142> Tj [(x) -50 (y)] TJ ET Q (outside) Tj")
+    noise = b"stream\n" + bytes(range(128, 256)) * 4 + b"BT (no) Tj ET\nendstream\n"
+    data = b"%PDF-1.7\n1 0 obj << /Title (T \\050x\\051 (in)) /Count 3 /Type /Pages >> endobj\n% /Encrypt in a comment\n2 0 obj << /Length 9 >> stream\r\n" + content + b"\nendstream endobj\n" + noise
+    got = documents.extract("a.pdf", data)
+    assert got["status"] == "ok" and got["metadata"] == {"title": "T (x) (in)", "pages": "3"} and got["text"] == "A(b) \u00e4 ABxy" and got["searched"] is None
+    for broken in (b"%PDF-1.4 (never closed", b"%PDF <</Title", b"%PDF stream", b"%PDF >> ] )", b"%PDF\nstream\nBT ((((\nendstream"):
+        assert documents.extract("a.pdf", broken)["status"] == "partial"
+
+
+def test_tex_arguments():
+    got = documents.extract("a.tex", rb"\title[short]{A {nested {title}} --- x} \subsubsection{Deep \textbf{one}} \cite{a}\citet[p.~3]{b,a} \section{open")
+    assert got["metadata"] == {"title": "A nested title -- x"}
+    assert [(s["level"], s["title"]) for s in got["sections"]] == [(3, "Deep one"), (1, "open")] and got["cited"] == ["a", "b"]
+
+
+def test_documents_in_the_plan(spark):
+    rows = [("/x/a.tex", b"10.1234/abc-1 \\cite{k}"), ("/x/b.pdf", b"%PDF 10.5555/abc-2 /Font"), ("/x/c.epub", b""), ("/x/d.pdf", None)]
+    df = spark.createDataFrame([(p, None if c is None else bytearray(c)) for p, c in rows], "path string, content binary")
+    out = documents.extracted(df)
+    got = {r["path"]: (r["status"], [(x["kind"], x["value"]) for x in r["outbound_refs"]]) for r in out.collect()}
+    assert out.columns == documents.SCHEMA.names
+    assert got == {"/x/a.tex": ("ok", [("doi", "10.1234/abc-1"), ("citekey", "k")]), "/x/b.pdf": ("needs_ocr", [("doi", "10.5555/abc-2")]), "/x/c.epub": ("missing_extractor", []), "/x/d.pdf": ("corrupt", [])}
 
 
 def test_archives(spark):
