@@ -14,7 +14,7 @@ from .config import Config
 from .errors import CannotUpdate, ModelUnavailable, Refused
 from .operators import graph, search
 from .plans import build as plans
-from .plans import language, mesh
+from .plans import filenames, language, mesh
 from .plans.classifier import Classifier, load_rules, vendored_repositories
 from .sources import documents, files, git, markdown
 from .store import Store, locked
@@ -64,7 +64,8 @@ class Workspace:
         """What a model's files give, and their state (path, size, mtime, content_hash)."""
         stats = self.staged(self.files(model), "stats")
         if model == "m2":
-            return plans.image_parts(self.spark, stats, as_of, self.config.dirs("image")), stats.withColumn("content_hash", F.lit(None).cast("string"))
+            named = self.staged(filenames.parsed_names(stats, as_of), "named")
+            return plans.image_parts(self.spark, named, as_of, self.config.dirs("image")), stats.withColumn("content_hash", F.lit(None).cast("string"))
         content = self.contents(stats)
         current = self.staged(stats.join(content.select("path", F.sha2("content", 256).alias("content_hash")), "path", "left"), "current")
         if model == "m3":

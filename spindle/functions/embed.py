@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..errors import EmbeddingRefused
 from ..operators.search import missing_embeddings
-from .text import identifier_tokens
+from .text import PARTS, identifier_tokens
 
 BATCH, BROADCAST_TOKENS = 64, 200_000
 
@@ -32,9 +32,7 @@ class Embedder(Protocol):
 
 
 def split_one(text: str) -> list[str]:
-    flat = re.sub("[^A-Za-z0-9]+", " ", text)
-    flat = re.sub("([a-z0-9])([A-Z])", r"\1 \2", re.sub("([A-Z]+)([A-Z][a-z])", r"\1 \2", flat))
-    return flat.lower().split()
+    return [t.lower() for t in re.split(PARTS, text) if t]
 
 
 def _scaled(v: list[float]) -> list[float]:

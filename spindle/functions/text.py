@@ -47,12 +47,13 @@ def query_phrases(text: str) -> list[list[str]]:
     return [p for p in found if p]
 
 
+#: Where identifiers part: at other than ASCII letters and digits, before a capital after a lower letter or digit, before the last capital of an acronym.
+PARTS = r"[^A-Za-z0-9]+|(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
+
+
 def identifier_tokens(text: Column) -> Column:
-    """Parts of identifiers: split at other than ASCII letters and digits, at humps and after acronyms; lower-cased."""
-    flat = F.regexp_replace(text, "[^A-Za-z0-9]+", " ")
-    flat = F.regexp_replace(flat, "([A-Z]+)([A-Z][a-z])", "$1 $2")
-    flat = F.regexp_replace(flat, "([a-z0-9])([A-Z])", "$1 $2")
-    return F.array_remove(F.split(F.lower(flat), " +"), "")
+    """Parts of identifiers, lower-cased."""
+    return F.array_remove(F.transform(F.split(text, PARTS), F.lower), "")
 
 
 def quoted(text: Column) -> Column:

@@ -109,9 +109,9 @@ def document_parts(spark: SparkSession, extracted: DataFrame, root: str, extensi
     return Parts(_union(nodes), _union(edges), {"status": f.groupBy("doctype", "status").count()})
 
 
-def image_parts(spark: SparkSession, stats: DataFrame, as_of: str, roots: tuple[str, ...]) -> Parts:
-    """M2 from (path, size, mtime); no image is opened."""
-    f = _file_ids(filenames.parsed_names(stats, as_of).withColumn("collection", filenames.collection(F.col("path"), roots)))
+def image_parts(spark: SparkSession, named: DataFrame, as_of: str, roots: tuple[str, ...]) -> Parts:
+    """M2 from (path, size, mtime) with the fields of their names, read once for all that derives from them; no image is opened."""
+    f = _file_ids(named.withColumn("collection", filenames.collection(F.col("path"), roots)))
     body = F.concat_ws(" ", basename(F.col("path")), "stem", basename(dirname(F.col("path"))))
     series = derive.series_members(f)
     kinds = {"collection": "IN_COLLECTION", "date": "NAMED_DATE", "resolution": "SAME_RESOLUTION"}

@@ -1,32 +1,27 @@
 """The grammar of image names: date, series, resolution, markers. Images are never opened; the name is all there is.
 
-Tokens are consumed in a fixed order and blanked at equal length, so that no later pattern reads their digits again.
+All of it is one column expression, in which each step's state is bound once, so that its size grows with the steps only. A rule reads its first match in what is left of the name and leaves blanks of the match's length there,
+so that no later rule reads the same characters; the rules of dates are tried together and the first that gives a day wins.
 """
 
 from __future__ import annotations
 
-import os
-import re
-from collections.abc import Iterator
-from datetime import date
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..functions.paths import stem
 
 # The grammar's patterns and word lists.
 _END = r"(?=$|[_\-. ])"
-ISO_DT = re.compile(r"(?<!\d)(\d{4})-(\d{2})-(\d{2})[ _](\d{2})-(\d{2})-(\d{2})(?!\d)")
-ISO = re.compile(r"(?<!\d)(\d{4})-(\d{2})-(\d{2})(?!\d)")
-DDMMYYYY = re.compile(r"(?<!\d)(\d{2})(\d{2})(\d{4})(?!\d)")
-SIX = re.compile(r"(?<!\d)(\d{2})(\d{2})(\d{2})(?!\d)")
-YEAR = re.compile(r"(?<!\d)((?:19|20)\d{2})(?!\d)")
-MALFORMED = re.compile(r"(?<!\d)\d{9,}(?!\d)")
-RESOLUTION = re.compile(r"(?<!\d)(\d{3,5})[xX](\d{3,5})(?!\d)")
-DPI = re.compile(r"(?<!\d)(\d{2,4})\s*dpi", re.IGNORECASE)
-INDEX, NR = re.compile(r"[_\-#](\d{1,4})" + _END), re.compile(r"_?nr(\d{1,3})" + _END)
-ROMAN = re.compile(r"[_\-](I{1,3}V?|IV|VI{0,3}|IX|X)" + _END)
+ISO_DT = r"(?<!\d)(\d{4})-(\d{2})-(\d{2})[ _](\d{2})-(\d{2})-(\d{2})(?!\d)"
+ISO = r"(?<!\d)(\d{4})-(\d{2})-(\d{2})(?!\d)"
+DDMMYYYY = r"(?<!\d)(\d{2})(\d{2})(\d{4})(?!\d)"
+SIX = r"(?<!\d)(\d{2})(\d{2})(\d{2})(?!\d)"
+YEAR = r"(?<!\d)((?:19|20)\d{2})(?!\d)"
+MALFORMED = r"(?<!\d)\d{9,}(?!\d)"
+RESOLUTION = r"(?<!\d)(\d{3,5})[xX](\d{3,5})(?!\d)"
+DPI = r"(?i)(?<!\d)(\d{2,4})\s*dpi"
+INDEX, NR = r"[_\-#](\d{1,4})" + _END, r"_?nr(\d{1,3})" + _END
 ROMAN_VALUES = {"I": 1, "II": 2, "III": 3, "IV": 4, "V": 5, "VI": 6, "VII": 7, "VIII": 8, "IX": 9, "X": 10}
 COPY = ("_copy", "-copy", "_kopi", " copy", "_copy2")
 VARIANTS = ("small", "ny", "hdpi", "ldpi", "thumb", "web", "print", "final")
@@ -35,95 +30,107 @@ MONTHS = {
     "january": 1, "february": 2, "march": 3, "may": 5, "june": 6, "july": 7, "october": 10, "december": 12,
     "jan": 1, "feb": 2, "mar": 3, "apr": 4, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "sept": 9, "oct": 10, "okt": 10, "nov": 11, "dec": 12, "des": 12,
 }
-SCHEMA = T.StructType(
-    [T.StructField(n, T.StringType()) for n in ("date", "date_kind", "time")]
-    + [T.StructField("indices", T.ArrayType(T.IntegerType())), T.StructField("resolution", T.StringType()), T.StructField("dpi", T.IntegerType())]
-    + [T.StructField("copy", T.BooleanType()), T.StructField("variant", T.StringType()), T.StructField("malformed", T.BooleanType())]
-    + [T.StructField("series_stem", T.StringType()), T.StructField("stem", T.StringType())]
-)
-
-
-class _Work:
-    """A stem whose consumed parts are blank."""
-
-    def __init__(self, stem: str) -> None:
-        self.left = stem
-
-    def take(self, m: re.Match | None) -> re.Match | None:
-        if m:
-            self.left = self.left[: m.start()] + " " * (m.end() - m.start()) + self.left[m.end() :]
-        return m
-
-
-def _day(y: int, m: int, d: int) -> date | None:
-    try:
-        return date(y, m, d)
-    except ValueError:
-        return None
-
-
-def _date(w: _Work, as_of: date) -> tuple[str | None, str | None, str | None]:
-    """(date, kind, time). Six digits are read year first, unless that is no day or in the future; then day first."""
-    for pattern, kind, order in ((ISO_DT, "iso_dt", (1, 2, 3)), (ISO, "iso", (1, 2, 3)), (DDMMYYYY, "ddmmyyyy", (3, 2, 1))):
-        m = pattern.search(w.left)
-        if m and (d := _day(*(int(m[i]) for i in order))):
-            w.take(m)
-            return d.isoformat(), kind, ":".join(m.groups()[3:]) if kind == "iso_dt" else None
-    if m := SIX.search(w.left):
-        a, b, c = map(int, m.groups())
-        for d, kind in ((_day(2000 + a, b, c), "yymmdd"), (_day((2000 if c < 50 else 1900) + c, b, a), "ddmmyy")):
-            if d and d <= as_of:
-                w.take(m)
-                return d.isoformat(), kind, None
-    for name, month in MONTHS.items():
-        if m := re.search(rf"[_\- ]{name}[_\- ]((?:19|20)\d{{2}})", w.left.lower()):
-            w.take(m)
-            return f"{m[1]}-{month:02d}", "monthname", None
-    if m := w.take(YEAR.search(w.left)):
-        return m[1], "year", None
-    return None, None, None
-
-
-def parse_name(path: str, as_of: date) -> dict:
-    """The fields of SCHEMA."""
-    stem = os.path.splitext(os.path.basename(path))[0]
-    w = _Work(stem)
-    copy = any(w.take(re.search(re.escape(c), w.left, re.IGNORECASE)) for c in COPY)
-    dpi, size = w.take(DPI.search(w.left)), w.take(RESOLUTION.search(w.left))
-    malformed = w.take(MALFORMED.search(w.left)) is not None
-    day, kind, time = (None, None, None) if malformed else _date(w, as_of)
-    variant = None
-    for v in VARIANTS:
-        pattern = re.compile(rf"[_\- ]{v}{_END}", re.IGNORECASE)
-        if pattern.search(w.left):
-            variant = v
-            while w.take(pattern.search(w.left)):
-                pass
-            break
-    indices = []
-    if m := w.take(NR.search(w.left)):
-        indices.append(int(m[1]))
-    m = ROMAN.search(w.left)
-    if m and m[1] in ROMAN_VALUES:
-        indices.append(ROMAN_VALUES[w.take(m)[1]])
-    found = list(INDEX.finditer(w.left))
-    indices += [int(m[1]) for m in found]
-    series = stem[: found[0].start()] if found else stem
-    return {
-        "date": day, "date_kind": kind, "time": time, "indices": indices, "resolution": f"{size[1]}x{size[2]}" if size else None, "dpi": int(dpi[1]) if dpi else None,
-        "copy": copy, "variant": variant, "malformed": malformed, "series_stem": series.strip(" _-#"), "stem": stem,
-    }
+FIELDS = ("date", "date_kind", "time", "indices", "resolution", "dpi", "copy", "variant", "malformed", "series_stem", "stem")
+def _any(words) -> str:
+    return "(" + "|".join(words) + ")"
 
 
-def parsed_names(images: DataFrame, as_of: str) -> DataFrame:
-    """images: (path, ...) with the fields of SCHEMA; the path is all that goes to Python."""
-    today = date.fromisoformat(as_of)
+def _blanked(left: Column, pattern: Column) -> Column:
+    """`left` with blanks where `pattern` first matches; as it was where the pattern is null or matches nowhere."""
+    blanks = F.repeat(F.lit(" "), F.length(F.regexp_substr(left, pattern)))
+    return F.coalesce(F.regexp_replace(left, F.concat(F.lit("(?s)^(.*?)(?:"), pattern, F.lit(")")), F.concat(F.lit("$1"), blanks)), left)
+
+
+def _got(left: Column, pattern: str, group: int) -> Column:
+    """A group of the first match; null where there is none."""
+    return F.nullif(F.regexp_extract(left, pattern, group), F.lit(""))
+
+
+def _listed(left: Column, words, form: str) -> Column:
+    """The first of the words whose form is found."""
+    return F.coalesce(*[F.when(left.rlike(form.format(w)), F.lit(w)) for w in words])
+
+
+def _stepped(state: Column, names: list[str], step) -> Column:
+    """The state, a struct of `names`, with what `step` makes of it; bound as a lambda's variable."""
+
+    def body(s: Column) -> Column:
+        new = {n: s[n] for n in names} | step(s)
+        return F.struct(*[v.alias(k) for k, v in new.items()])
+
+    return F.element_at(F.transform(F.array(state), body), 1)
+
+
+def _day(y: Column, m: Column, d: Column) -> Column:
+    return F.when(y != "0000", F.try_to_date(F.concat_ws("-", y, m, d), "yyyy-MM-dd"))
+
 
-    @F.pandas_udf(SCHEMA)
-    def parse(paths: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parse_name(p, today) for p in paths], columns=SCHEMA.names)
+def _dates(left: Column, as_of: str) -> Column:
+    """struct(date, kind, time, pattern) of the first rule that gives a day. Six digits are read year first, unless that is no day or in the future; then day first."""
 
-    return images.withColumn("__n", parse("path")).select(*images.columns, "__n.*")
+    def rule(kind: str, day: Column, pattern: str, time: Column | None = None) -> Column:
+        text = day.cast("string")
+        return F.when(text.isNotNull(), F.struct(text.alias("date"), F.lit(kind).alias("kind"), (F.lit(None).cast("string") if time is None else time).alias("time"), F.lit(pattern).alias("pattern")))
+
+    def parts(pattern: str, *order: int) -> tuple[Column, ...]:
+        return tuple(_got(left, pattern, i) for i in order)
+
+    def past(day: Column) -> Column:
+        return F.when(day <= F.lit(as_of).cast("date"), day)
+
+    a, b, c = parts(SIX, 1, 2, 3)
+    century = F.when(c < "50", "20").otherwise("19")
+    named = rf"(?i)[_\- ]{_any(MONTHS)}[_\- ]((?:19|20)\d{{2}})"
+    numbers = F.create_map(*[F.lit(x) for name, n in MONTHS.items() for x in (name, f"{n:02d}")])
+    return F.coalesce(
+        rule("iso_dt", _day(*parts(ISO_DT, 1, 2, 3)), ISO_DT, F.concat_ws(":", *parts(ISO_DT, 4, 5, 6))),
+        rule("iso", _day(*parts(ISO, 1, 2, 3)), ISO),
+        rule("ddmmyyyy", _day(*parts(DDMMYYYY, 3, 2, 1)), DDMMYYYY),
+        rule("yymmdd", past(_day(F.concat(F.lit("20"), a), b, c)), SIX),
+        rule("ddmmyy", past(_day(F.concat(century, c), b, a)), SIX),
+        rule("monthname", F.concat(_got(left, named, 2), F.lit("-"), F.try_element_at(numbers, F.lower(_got(left, named, 1)))), named),
+        rule("year", _got(left, YEAR, 1), YEAR),
+    )
+
+
+def _rules(as_of: str) -> list:
+    """The steps in order; each gives new fields and what is left of the name."""
+    roman, values = rf"[_\-]{_any(ROMAN_VALUES)}{_END}", F.create_map(*[F.lit(x) for kv in ROMAN_VALUES.items() for x in kv])
+
+    def read(pattern: str, **fields):
+        return lambda s: {k: v(s.left) for k, v in fields.items()} | {"left": _blanked(s.left, F.lit(pattern))}
+
+    def rest(s: Column) -> dict[str, Column]:
+        found = F.transform(F.regexp_extract_all(s.left, F.lit(INDEX), F.lit(1)), lambda v: v.cast("int"))
+        before = F.substring(s.stem, F.lit(1), F.length(F.regexp_extract(s.left, f"(?s)^(.*?){INDEX}", 1)))
+        series = F.when(s.left.rlike(INDEX), before).otherwise(s.stem)
+        return {"indices": F.concat(F.array_compact(F.array(s.nr, s.roman)), found), "series_stem": F.btrim(series, F.lit(" _-#"))}
+
+    return [
+        lambda s: {"mark": _listed(s.left, COPY, "(?i){}")},
+        lambda s: {"copy": s.mark.isNotNull(), "left": _blanked(s.left, F.concat(F.lit("(?i)"), s.mark))},
+        read(DPI, dpi=lambda x: _got(x, DPI, 1).cast("int")),
+        read(RESOLUTION, resolution=lambda x: F.concat(_got(x, RESOLUTION, 1), F.lit("x"), _got(x, RESOLUTION, 2))),
+        read(MALFORMED, malformed=lambda x: x.rlike(MALFORMED)),
+        lambda s: {"day": F.when(~s.malformed, _dates(s.left, as_of))},
+        lambda s: {"date": s.day.date, "date_kind": s.day.kind, "time": s.day.time, "left": _blanked(s.left, s.day.pattern)},
+        lambda s: {"variant": _listed(s.left, VARIANTS, rf"(?i)[_\- ]{{}}{_END}")},
+        lambda s: {"left": F.coalesce(F.regexp_replace(s.left, F.concat(F.lit(r"(?i)[_\- ]"), s.variant, F.lit(_END)), F.repeat(F.lit(" "), F.length(s.variant) + 1)), s.left)},
+        read(NR, nr=lambda x: _got(x, NR, 1).cast("int")),
+        read(roman, roman=lambda x: F.try_element_at(values, _got(x, roman, 1))),
+        rest,
+    ]
+
+
+def parsed_names(images: DataFrame, as_of: str) -> DataFrame:
+    """images: (path, ...) with FIELDS. Names are read as of a day, so that the same name is always read the same."""
+    name = stem(F.col("path"))
+    state, names = F.struct(name.alias("stem"), name.alias("left")), ["stem", "left"]
+    steps = [("mark",), ("copy",), ("dpi",), ("resolution",), ("malformed",), ("day",), ("date", "date_kind", "time"), ("variant",), (), ("nr",), ("roman",), ("indices", "series_stem")]
+    for rule, new in zip(_rules(as_of), steps, strict=True):
+        state = _stepped(state, names, rule)
+        names = [*names, *new]
+    return images.withColumn("__n", state).select(*images.columns, *[F.col(f"__n.{f}").alias(f) for f in FIELDS])
 
 
 def collection(path: Column, roots: tuple[str, ...]) -> Column:
@@ -134,7 +141,3 @@ def collection(path: Column, roots: tuple[str, ...]) -> Column:
         inside = F.substring(parent, len(root) + 2, 1 << 30)
         out = F.when(parent == root, root.rsplit("/", 1)[-1]).when(parent.startswith(root + "/"), inside).otherwise(out)
     return out
-
-
-def names(paths: list[str], as_of: str) -> Iterator[dict]:
-    return (parse_name(p, date.fromisoformat(as_of)) | {"path": p} for p in paths)

@@ -6,9 +6,9 @@ import html
 import json
 import math
 import os
-import random
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +21,9 @@ FILE_TYPES = {
     "resolution": "concept", "series": "concept", "app": "concept", "format": "concept",
 }
 CERTAINTY = {m: "EXTRACTED" if c >= 1 else "AMBIGUOUS" if m == "path_prefix" else "INFERRED" for m, c in EDGE_METHODS.items()}
+# The seed of the layout, and nodes times rounds.
 SEED, LAYOUT_BUDGET = 20260722, 105_000
+ROUNDS_LEAST, ROUNDS_MOST, STEP, GRID_MOST, SOFT = 20, 150, 0.1, 256, 0.1
 
 
 def mapped(value: Column, table: dict[str, str], what: str) -> Column:
@@ -57,41 +59,34 @@ def export_graph(nodes: DataFrame, edges: DataFrame, path: str) -> dict:
 
 
 def layout(n: int, links: list[tuple[int, int]], seed: int = SEED) -> list[tuple[float, float]]:
-    """Positions of a force layout: the same for the same graph. Repulsion acts within neighbouring cells of a grid, so a round is linear in n."""
-    rng = random.Random(seed)
-    at = [[rng.uniform(-1, 1), rng.uniform(-1, 1)] for _ in range(n)]
+    """Positions of a force layout: the same for the same graph. All nodes move at once.
+
+    Every node is pushed by the centres of the cells of a grid around its own, each as heavy as its cell, and
+    pulled by what it is linked to. A step is at most the step size, which shrinks to nothing over the rounds.
+    """
+    at = np.random.default_rng(seed).uniform(-1, 1, (n, 2))
     if n < 2:
-        return [(x, y) for x, y in at]
+        return [tuple(p) for p in at.tolist()]
+    a, b = (np.array([e[i] for e in links], np.int64) for i in (0, 1))
     ideal = 2 / math.sqrt(n)
-    rounds = max(8, min(150, LAYOUT_BUDGET // n))
-    for step in range(rounds):
-        heat = 0.1 * (1 - step / rounds)
-        move = [[0.0, 0.0] for _ in range(n)]
-        cells: dict[tuple[int, int], list[int]] = {}
-        for i, (x, y) in enumerate(at):
-            cells.setdefault((int(x // (2 * ideal)), int(y // (2 * ideal))), []).append(i)
-        for (cx, cy), own in cells.items():
-            near = [j for dx in (-1, 0, 1) for dy in (-1, 0, 1) for j in cells.get((cx + dx, cy + dy), ())][:64]
-            for i in own:
-                for j in near:
-                    dx, dy = at[i][0] - at[j][0], at[i][1] - at[j][1]
-                    d2 = dx * dx + dy * dy
-                    if i != j and d2 > 1e-9:
-                        f = ideal * ideal / d2
-                        move[i][0] += dx * f
-                        move[i][1] += dy * f
-        for a, b in links:
-            dx, dy = at[a][0] - at[b][0], at[a][1] - at[b][1]
-            f = math.hypot(dx, dy) / ideal
-            for k, s in ((a, -1), (b, 1)):
-                move[k][0] += s * dx * f
-                move[k][1] += s * dy * f
-        for p, (dx, dy) in zip(at, move, strict=True):
-            size = math.hypot(dx, dy)
-            if size:
-                p[0] += dx / size * min(size, heat)
-                p[1] += dy / size * min(size, heat)
-    return [(x, y) for x, y in at]
+    rounds = max(ROUNDS_LEAST, min(ROUNDS_MOST, LAYOUT_BUDGET // n))
+    for step in np.linspace(STEP, 0, rounds, endpoint=False):
+        low = at.min(axis=0)
+        side = max(2 * ideal, float((at.max(axis=0) - low).max()) / GRID_MOST)
+        cell = ((at - low) / side).astype(np.int64) + 1
+        wide = int(cell.max()) + 2
+        flat = cell[:, 0] * wide + cell[:, 1]
+        mass = np.bincount(flat, minlength=wide * wide)
+        centre = np.stack([np.bincount(flat, at[:, k], wide * wide) for k in (0, 1)], 1) / np.maximum(1, mass)[:, None]
+        force = np.zeros((n, 2))
+        for around in (dx * wide + dy for dx in (-1, 0, 1) for dy in (-1, 0, 1)):
+            away = at - centre[flat + around]
+            force += away * (mass[flat + around] * ideal**2 / ((away**2).sum(axis=1) + SOFT * ideal**2))[:, None]
+        pull = (at[b] - at[a]) * (np.linalg.norm(at[b] - at[a], axis=1) / ideal)[:, None]
+        np.add.at(force, a, pull)
+        np.add.at(force, b, -pull)
+        at += force * (step / np.maximum(step, np.linalg.norm(force, axis=1)))[:, None]
+    return [tuple(p) for p in at.tolist()]
 
 
 def positions(keys: list[str], links: list[tuple[int, int]]) -> list[tuple[float, float]]:

@@ -7,7 +7,7 @@ import sqlite3
 import zipfile
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import extension
@@ -16,16 +16,20 @@ ENTRIES, LARGEST, TABLES = 200, 512 << 20, 200
 DECLINED = ("xpi",)  # listed by no one: an extension's members are not documents
 
 
-def top_entries(content: bytes | None, limit: int = ENTRIES) -> list[str] | None:
-    """Distinct top-level names of a zip in order, folders with a slash; None if it can't be listed, [] if it is empty."""
+def members(content: bytes | None) -> list[str] | None:
+    """Member names of a zip in the order of its directory; None if it can't be listed, [] if it is empty."""
     if content is None or len(content) > LARGEST:
         return None
     try:
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            parts = [n.lstrip("/").partition("/") for n in z.namelist()]
-    except (zipfile.BadZipFile, OSError, RuntimeError, ValueError):
+        return zipfile.ZipFile(io.BytesIO(content)).namelist()
+    except Exception:  # noqa: BLE001  whatever a broken directory raises, it can't be listed
         return None
-    return list(dict.fromkeys(head + slash for head, slash, _ in parts if head))[:limit]
+
+
+def top_level(names: Column, limit: int = ENTRIES) -> Column:
+    """Distinct first components of member names, in order, folders with a slash."""
+    heads = F.transform(names, lambda n: F.regexp_extract(n, "^/*([^/]+/?)", 1))
+    return F.slice(F.filter(F.array_distinct(heads), lambda h: h != ""), 1, limit)
 
 
 def tables(content: bytes | None) -> list[str]:
@@ -44,9 +48,9 @@ def tables(content: bytes | None) -> list[str]:
 
 def listed(files: DataFrame) -> DataFrame:
     """files: (path, content) -> (path, entries array or null) of zip archives whose listing isn't declined."""
-    entries = F.pandas_udf(lambda c: pd.Series([top_entries(bytes(x) if x is not None else None) for x in c]), "array<string>")
+    names = F.pandas_udf(lambda c: pd.Series([members(bytes(x) if x is not None else None) for x in c]), "array<string>")
     own = files.where(F.hex(F.substring("content", 1, 4)) == "504B0304").where(~extension(F.col("path")).isin(*DECLINED))
-    return own.select("path", entries("content").alias("entries"))
+    return own.select("path", names("content").alias("names")).select("path", top_level(F.col("names")).alias("entries"))
 
 
 def archive_edges(listings: DataFrame) -> DataFrame:

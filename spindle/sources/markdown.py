@@ -1,7 +1,6 @@
 """Markdown extraction: front matter, headings as a tree, links, tags, mentions.
 
-A file is one row; Python is needed for code blanking, front matter and the heading stack, and runs
-in Arrow batches. What joins files (link resolution, categories) is done in the plan, from the rows that this gives.
+A file is one row and is read line by line, in Python in Arrow batches: fences, front matter and headings are matters of lines. What joins files (link resolution, categories) is done in the plan, from the rows that this gives.
 """
 
 from __future__ import annotations
@@ -9,6 +8,8 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,13 +20,13 @@ from pyspark.sql import types as T
 from .files import plain
 
 # The forms that count as a fence, code, heading, link, tag and path.
-FENCE = re.compile(r"^(```+|~~~+).*?^\1\s*$", re.MULTILINE | re.DOTALL)
-CODE = re.compile(r"(?<!`)(`+)(?!`)(.+?)(?<!`)\1(?!`)", re.DOTALL)
-FRONT = re.compile(r"\A---\r?\n(.*?)\r?\n---\r?\n", re.DOTALL)
-HEADING = re.compile(r"^(#{1,6})\s+(.+?)\s*#*\s*$", re.MULTILINE)
+FENCE = re.compile(r"```+|~~~+")
+RULER = "---"
+HEADING = re.compile(r"(#{1,6})\s+(.+?)\s*#*\s*")
 WIKI = re.compile(r"(!?)\[\[([^\]|#]+?)(?:#[^\]|]*)?(?:\|[^\]]*)?\]\]")
 LINK = re.compile(r"(!?)\[[^\]]*\]\(\s*<?([^)\s>]+)>?[^)]*\)")
 TAG = re.compile(r"(?:(?<=\s)|\A)#([A-Za-zÆØÅæøå][\w/-]{1,40})")
+PATH = r"(?:(?<=\s)|\A|(?<=[`'\"(]))((?:~|{root}|\./|\.\./)[\w./~@+-]*[\w/])"
 GENERATED = ("GRAPH_REPORT.md",)
 MEMORY = ("/memory/",)
 READMES = ("readme.md", "readme.mdx", "readme.markdown")
@@ -45,89 +46,129 @@ SCHEMA = T.StructType(
 )
 
 
-def blank_code(text: str) -> str:
-    """Fences and inline code as spaces of equal length; offsets stay valid and nothing in code is read as markup."""
-    for pattern in (FENCE, CODE):
-        text = pattern.sub(lambda m: re.sub(r"\S", " ", m[0]), text)
-    return text
+def _blank(text: str) -> str:
+    return "".join(c if c.isspace() else " " for c in text)
+
+
+def _unfenced(lines: list[str]) -> list[str]:
+    """The lines, those of closed fences blank. A fence is closed by a line of nothing but its own mark, as often at least; one that isn't is text."""
+    out, i = list(lines), 0
+    while i < len(out):
+        m = FENCE.match(out[i])
+        close = m and next((j for j in range(i + 1, len(out)) if out[j].startswith(m[0]) and not out[j].rstrip().strip(m[0][0])), None)
+        if close:
+            out[i : close + 1] = map(_blank, out[i : close + 1])
+            i = close
+        i += 1
+    return out
+
+
+def blanked(text: str) -> str:
+    """Fences and inline code as blanks of equal length, so that offsets stay valid and nothing in code is read as markup.
+
+    Inline code runs from a run of backticks to the next run of as many.
+    """
+    text = "\n".join(_unfenced(text.split("\n")))
+    runs = [m.span() for m in re.finditer("`+", text)]
+    places = defaultdict(list)
+    for i, (a, b) in enumerate(runs):
+        places[b - a].append(i)
+    out, done, i = [], 0, 0
+    while i < len(runs):
+        like = places[runs[i][1] - runs[i][0]]
+        k = bisect_right(like, i)
+        if k < len(like):
+            start, end = runs[i][0], runs[like[k]][1]
+            out += [text[done:start], _blank(text[start:end])]
+            done, i = end, like[k]
+        i += 1
+    return "".join(out) + text[done:]
+
+
+def _value(text: str) -> str | list[str]:
+    if text[:1] == "[" and text[-1:] == "]":
+        return [v for v in (x.strip().strip("'\"") for x in text[1:-1].split(",")) if v]
+    return text.strip("'\"")
 
 
 def front_matter(text: str) -> tuple[dict, str, list[str]]:
-    """(mapping, body, lines that aren't `key: value`). Values are texts or lists of texts; nested lines belong to the key above."""
-    m = FRONT.match(text)
-    if not m:
+    """(properties, body, lines that are none). A property is `key: value`, the value a text or a list; indented lines belong to the one above."""
+    lines = text.split("\n")
+    rulers = [i for i, line in enumerate(lines[:-1]) if line.removesuffix("\r") == RULER][:2] if lines[0].rstrip() == RULER else []
+    if len(rulers) < 2:
         return {}, text, []
-    data: dict = {}
+    held: dict = {}
     problems = []
-    for n, line in enumerate(m[1].splitlines(), 2):
-        bare = line.strip()
-        if not bare or bare.startswith("#") or (line[0] in " \t" and data):
-            continue
+    for n in range(1, rulers[1]):
+        line = lines[n].rstrip()
         key, colon, value = line.partition(":")
-        if not colon:
-            problems.append(f"{n}: {bare}")
-            continue
-        value = value.strip()
-        listed = value.startswith("[") and value.endswith("]")
-        data[key.strip()] = [v.strip().strip("'\"") for v in value[1:-1].split(",") if v.strip()] if listed else value.strip("'\"")
-    return data, text[m.end() :], problems
-
-
-def section_tree(body: str, clean: str) -> list[dict]:
-    """Headings with their ancestors, whether nothing deeper follows, and a digest of the text up to the next heading."""
-    found = [(len(m[1]), m[2].strip(), m.start()) for m in HEADING.finditer(clean)]
-    out, above = [], []
-    for i, (level, title, at) in enumerate(found):
-        above = [a for a in above if a[0] < level] if not above or above[-1][0] >= level else above
-        above = [*above, (level, title)]
-        following = found[i + 1] if i + 1 < len(found) else None
-        line = clean.find("\n", at)
-        own = body[len(body) if line < 0 else line + 1 : following[2] if following else len(body)]
-        out.append({
-            "level": level, "title": title, "offset": at, "heading_path": [t for _, t in above], "leaf": following is None or following[0] <= level,
-            "content_hash": hashlib.sha256(own.encode()).hexdigest(),
-        })
+        if colon and not line[0].isspace() and line[0] != "#":
+            held[key.strip()] = _value(value.strip())
+        elif line and line.lstrip()[0] != "#" and not (line[0].isspace() and held):
+            problems.append(f"{n + 1}: {line.strip()}")
+    return held, "\n".join(lines[rulers[1] + 1 :]), problems
+
+
+def sections(body: str, clean: str) -> list[dict]:
+    """Headings with their ancestors, whether nothing deeper follows, and a digest of the text between a heading's line and the next heading."""
+    found, at = [], 0
+    for line in clean.split("\n"):
+        if m := HEADING.fullmatch(line):
+            found.append((at, at + len(line) + 1, len(m[1]), m[2]))
+        at += len(line) + 1
+    ends = ([(f[0], f[2]) for f in found] + [(len(body), 0)])[1:]
+    out, trail = [], {}
+    for (at, text_at, level, title), (end, next_level) in zip(found, ends, strict=True):
+        trail = {k: v for k, v in trail.items() if k < level} | {level: title}
+        own = hashlib.sha256(body[text_at:end].encode()).hexdigest()
+        out.append({"level": level, "title": title, "offset": at, "heading_path": list(trail.values()), "leaf": next_level <= level, "content_hash": own})
     return out
 
 
+def targets(clean: str, image_extensions: frozenset[str]) -> Iterator[tuple[str, str, int]]:
+    """(field, target, offset) of the links of a text."""
+    for m in WIKI.finditer(clean):
+        yield "embeds" if m[1] else "wikilinks", m[2].strip(), m.start()
+    for m in LINK.finditer(clean):
+        image = m[1] or os.path.splitext(m[2])[1].lower().lstrip(".") in image_extensions
+        yield "embeds" if image and not m[2].startswith(REMOTE) else "links", m[2], m.start()
+
+
 def _unique(items) -> list[str]:
     return [x for x in dict.fromkeys(items) if x]
 
 
 def subtype_of(path: str, transcript_roots: tuple = (), generated: tuple = (), memory: tuple = MEMORY) -> str:
-    if path.startswith(tuple(transcript_roots)):
-        return "transcript"
-    if any(g in path for g in (*GENERATED, *generated)):
-        return "generated"
-    if any(m in path for m in memory):
-        return "memory"
-    return "readme" if os.path.basename(path).lower() in READMES else "note"
+    """The first kind whose mark the path has: where it begins, what it holds, what it is named."""
+    marks = {
+        "transcript": path.startswith(tuple(transcript_roots)),
+        "generated": any(map(path.__contains__, (*GENERATED, *generated))),
+        "memory": any(map(path.__contains__, memory)),
+        "readme": os.path.basename(path).lower() in READMES,
+    }
+    return next((kind for kind, found in marks.items() if found), "note")
 
 
 def extract(path: str, text: str, root: str = "/", image_extensions: frozenset[str] = frozenset(), **kinds) -> dict:
     """The fields of SCHEMA for one file's text. Pure."""
-    front, body, problems = front_matter(text)
-    clean = blank_code(body)
-    sections = section_tree(body, clean)
-    wiki = [(m[1], m[2].strip(), m.start()) for m in WIKI.finditer(clean)]
-    targets = [(m[1], m[2].strip()) for m in LINK.finditer(clean)]
-    is_image = lambda t: os.path.splitext(t)[1].lower().lstrip(".") in image_extensions
-    local = [(bang, t) for bang, t in targets if not t.startswith(REMOTE)]
-    shown = [t for bang, t in local if bang or is_image(t)]
-    pathish = re.compile(r"(?:(?<=\s)|\A|(?<=[`'\"(]))((?:~|" + re.escape(root) + r"|\./|\.\./)[\w./~@+-]*[\w/])")
-    tags = front.get("tags", [])
-    tags = [t.strip() for t in tags.split(",")] if isinstance(tags, str) else tags
-    name = os.path.splitext(os.path.basename(path))[0]
-    title, method = (front["title"], "declared") if front.get("title") else (sections[0]["title"], "inferred") if sections else (name, "verbatim")
-    raw = text.encode()
+    held, body, problems = front_matter(text)
+    clean, raw = blanked(body), text.encode()
+    tree, name = sections(body, clean), os.path.splitext(os.path.basename(path))[0]
+    flat = {k: v if isinstance(v, str) else ", ".join(v) for k, v in held.items()}
+    tagged = held.get("tags", [])
+    fields: dict[str, list[str]] = {"wikilinks": [], "embeds": [], "links": []}
+    placed = []
+    for field, target, at in targets(clean, image_extensions):
+        fields[field].append(target)
+        if field == "wikilinks":
+            placed.append({"target": target, "offset": at})
+    fields["tags"] = [*([x.strip() for x in tagged.split(",")] if isinstance(tagged, str) else tagged), *TAG.findall(clean)]
+    fields["path_mentions"] = re.findall(PATH.replace("{root}", re.escape(root)), clean)
+    titles = (("declared", flat.get("title")), ("inferred", tree[0]["title"] if tree else None), ("verbatim", name))
+    method, title = next((x for x in titles if x[1]), titles[-1])
     return {
-        "path": path, "name": name, "subtype": subtype_of(path, **kinds), "title": title if isinstance(title, str) else ", ".join(title), "title_method": method,
-        "body": body, "content_hash": hashlib.sha256(raw).hexdigest(), "size": len(raw),
-        "frontmatter": {k: v if isinstance(v, str) else ", ".join(v) for k, v in front.items()}, "problems": problems, "sections": sections,
-        "wikilinks": _unique(t for bang, t, _ in wiki if not bang), "embeds": _unique([t for bang, t, _ in wiki if bang] + shown),
-        "links": _unique(t for bang, t in targets if t.startswith(REMOTE) or (bang, t) in local and not (bang or is_image(t))),
-        "tags": _unique([*tags, *(m[1] for m in TAG.finditer(clean))]), "path_mentions": _unique(m[1] for m in pathish.finditer(clean)),
-        "placed_links": [{"target": t, "offset": at} for bang, t, at in wiki if not bang],
+        "path": path, "name": name, "subtype": subtype_of(path, **kinds), "title": title, "title_method": method, "body": body, "content_hash": hashlib.sha256(raw).hexdigest(), "size": len(raw),
+        "frontmatter": flat, "problems": problems, "sections": tree, "placed_links": placed, **{k: _unique(v) for k, v in fields.items()},
     }
 
 

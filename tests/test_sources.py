@@ -31,17 +31,43 @@ NAMES = [
 ]
 
 
-@pytest.mark.parametrize("row", NAMES, ids=lambda r: r[0])
-def test_names(row):
-    name, day, kind, indices, size, dpi, copy, variant = row
-    n = filenames.parse_name("/p/" + name, filenames.date(2026, 7, 22))
-    got = (n["date"], "malformed" if n["malformed"] else n["date_kind"], ",".join(map(str, n["indices"])), n["resolution"], n["dpi"], n["copy"], n["variant"])
-    assert got == (day, kind, indices, size, dpi, copy, variant)
+def _parsed(spark, names):
+    df = spark.createDataFrame([("/p/" + n, 7) for n in names], "path string, size long")
+    return {r["path"][3:]: r for r in filenames.parsed_names(df, "2026-07-22").collect()}
 
 
-def test_series_group_by_what_stands_before_the_index():
-    stems = [filenames.parse_name(n, filenames.date(2026, 7, 22))["series_stem"] for n in ("03122025_1.png", "03122025_2.png", "05122025_2.png")]
-    assert stems == ["03122025", "03122025", "05122025"]
+def test_names(spark):
+    got = _parsed(spark, [row[0] for row in NAMES])
+    for name, day, kind, indices, size, dpi, copy, variant in NAMES:
+        n = got[name]
+        assert (n["date"], "malformed" if n["malformed"] else n["date_kind"], ",".join(map(str, n["indices"])), n["resolution"], n["dpi"], n["copy"], n["variant"]) == (day, kind, indices, size, dpi, copy, variant), name
+    assert got["Skjermbilde fra 2026-07-18 21-26-52.png"]["time"] == "21:26:52" and got["Captivity#2.jpeg"]["size"] == 7
+
+
+def test_odd_names(spark):
+    odd = {
+        "\U0001f600_2020-02-30_4.png": ("2020", "year", [2, 30, 4], "\U0001f600_2020"), "Plate_nr12_IV_3.png": (None, None, [12, 4, 3], "Plate_nr12_IV"), "x_IIV.png": (None, None, [], "x_IIV"),
+        "$1_a\\b_7.png": (None, None, [7], "$1_a\\b"), "991231_1.png": (None, None, [1], "991231"), ".png": (None, None, [], ".png"), "a_small_5_small.png": (None, None, [5], "a_small"),
+    }
+    got = _parsed(spark, odd)
+    assert {k: (r["date"], r["date_kind"], list(r["indices"]), r["series_stem"]) for k, r in got.items()} == odd
+
+
+def test_names_can_be_filtered_and_joined(spark):
+    d = filenames.parsed_names(spark.createDataFrame([("/a_1.png",), ("/b_2020-01-01_2.png",)], "path string"), "2026-01-01")
+    assert d.where("date is not null and size(indices) > 0 and series_stem <> ''").count() == 1
+    assert d.where("date is not null").join(d.select("series_stem"), "series_stem").count() == 1
+
+
+def test_names_are_read_in_the_plan(spark):
+    plan = filenames.parsed_names(spark.createDataFrame([("/a.png",)], "path string"), "2026-01-01")._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_series_group_by_what_stands_before_the_index(spark):
+    names = ("03122025_1.png", "03122025_2.png", "05122025_2.png")
+    got = _parsed(spark, names)
+    assert [got[n]["series_stem"] for n in names] == ["03122025", "03122025", "05122025"]
 
 
 DOC = """---
@@ -90,6 +116,18 @@ def test_links_and_code():
     assert markdown.subtype_of("/a/memory/x.md") == "memory" and markdown.subtype_of("/a/README.md") == "readme"
 
 
+def test_code_is_blanked():
+    text = "a ``x ` y`` z\n````\n```\n[[in]]\n```\n````  \n~~~ never closed\nb `c` `` d\n"
+    got = markdown.blanked(text)
+    assert len(got) == len(text) and got.split() == ["a", "z", "~~~", "never", "closed", "b", "``", "d"]
+
+
+def test_front_matter():
+    got = markdown.extract("/x/n.md", "---\r\n# note\r\ntitle: 'T: x'\r\nnested:\r\n  a: 1\r\nbad line\r\ntags: p, q\r\n---\r\nbody #rr\n")
+    assert got["frontmatter"] == {"title": "T: x", "nested": "", "tags": "p, q"} and got["problems"] == ["6: bad line"] and got["tags"] == ["p", "q", "rr"] and got["body"] == "body #rr\n"
+    assert markdown.extract("/x/n.md", "---\ntitle: x\n# Head\n")["title"] == "Head" and markdown.extract("/x/n.md", "")["title_method"] == "verbatim"
+
+
 def _zip(members):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
@@ -170,7 +208,7 @@ def test_documents_in_the_plan(spark):
 
 def test_archives(spark):
     good = _zip({"README": "", "src/a": "", "src/b": "", "notes.md": ""})
-    assert archives.top_entries(good) == ["README", "src/", "notes.md"] and archives.top_entries(_zip({})) == [] and archives.top_entries(b"PK\x03\x04x") is None
+    assert archives.members(good) == ["README", "src/a", "src/b", "notes.md"] and archives.members(_zip({})) == [] and archives.members(b"PK\x03\x04x") is None is archives.members(None)
     df = spark.createDataFrame([("/z/a.zip", bytearray(good)), ("/z/b.zip", bytearray(b"PK\x03\x04x")), ("/z/c.xpi", bytearray(good))], "path string, content binary")
     got = {r["path"]: r["entries"] for r in archives.listed(df).collect()}
     assert got == {"/z/a.zip": ["README", "src/", "notes.md"], "/z/b.zip": None}

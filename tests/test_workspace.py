@@ -184,6 +184,10 @@ def test_vault_and_node_link(work, tmp_path):
     shown = nodelink.payload(m.nodes, m.edges, 5)
     assert shown["truncated"] and len(shown["nodes"]) == 5 and "<svg" in nodelink.render(shown)
     assert nodelink.layout(30, [(0, 1)]) == nodelink.layout(30, [(0, 1)])
+    ring = [(i, (i + 1) % 40) for i in range(40)]
+    placed = nodelink.layout(40, ring)
+    spans = [[((placed[i][0] - placed[j][0]) ** 2 + (placed[i][1] - placed[j][1]) ** 2) ** 0.5 for i, j in pairs] for pairs in (ring, [(i, (i + 20) % 40) for i in range(40)])]
+    assert sum(spans[0]) < sum(spans[1]) and min(spans[0]) > 0 and nodelink.layout(0, []) == []
 
 
 def test_one_writer(tmp_path):
