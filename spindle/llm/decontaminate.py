@@ -21,7 +21,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, words, written
+from .common import table, unused, words, written
 
 SHINGLE, CONTAINMENT, BROADCAST_SHINGLES = 5, 0.8, 400_000
 _LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -70,8 +70,9 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The rows of `docs` that hold no item; rows with null ids or texts stay, columns as they are."""
-    bad = contained_items(docs, items, id_col=id_col, **how).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(bad, F.col(id_col) == F.col("__id"), "left_anti")
+    held = unused(docs, "__id")
+    bad = contained_items(docs, items, id_col=id_col, **how).select(F.col("doc_id").alias(held)).distinct()
+    return docs.join(bad, F.col(id_col) == F.col(held), "left_anti")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

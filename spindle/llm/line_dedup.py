@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, table, written
+from .common import SPACE_CLASS, table, unused, written
 
 #: Lines in a run, and characters that its lines hold at least: two short lines meet by chance.
 RUN, RUN_CHARS = 2, 60
@@ -66,13 +66,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = written(candidates.groupBy("content").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max(F.struct("doc_id", "at")).alias("last")).where("first <> last").select("content", "first"), "first-runs")
     later = candidates.join(first, "content").where(F.struct("doc_id", "at") > F.col("first"))
     gone = later.select("doc_id", "row", F.explode("lines").alias("line")).groupBy("doc_id", "row").agg(F.collect_set("line").alias("gone"))
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("gone").alias("__gone"))
+    own_id, own_row, own_gone = (unused(docs, c) for c in ("__id", "__row", "__gone"))
+    gone = gone.select(F.col("doc_id").alias(own_id), F.col("row").alias(own_row), F.col("gone").alias(own_gone))
     text = F.col(text_col).cast("string")
-    met = docs.join(gone, (F.col(id_col) == F.col("__id")) & (F.xxhash64(text) == F.col("__row")), "left")
+    met = docs.join(gone, (F.col(id_col) == F.col(own_id)) & (F.xxhash64(text) == F.col(own_row)), "left")
     lines = F.split(text, "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__gone")
-    cleaned = F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    counts = {"n_lines": F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long"), "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")}
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), own_gone)
+    cleaned = F.when(F.col(own_gone).isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    counts = {"n_lines": F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long"), "n_removed": F.coalesce(F.size(own_gone), F.lit(0)).cast("long")}
     own = [F.col(c) for c in docs.columns if c not in (text_col, *counts)]
     return met.select(*own, cleaned.alias(text_col), *[v.alias(k) for k, v in counts.items()])
 

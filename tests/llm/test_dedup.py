@@ -80,6 +80,18 @@ def test_lines(make):
     assert line_dedup.line_dedup(make([])).count() == 0
 
 
+def test_inner_names_may_be_taken(spark, make):
+    line = "a line of words that is long enough to count in a run"
+    docs = make([(1, f"{line}\n{line} b"), (2, f"{line}\n{line} b\nc"), (None, line)])
+    for c in ("__id", "__ROW", "__gone", "fp", "content", "h", "s", "w"):
+        docs = docs.withColumn(c, F.lit(c))
+    got = line_dedup.line_dedup(docs)
+    assert {r["doc_id"]: r["text"] for r in got.collect()}[2] == "c" and set(docs.columns) < set(got.columns)
+    items = spark.createDataFrame([(1, f"{line} {line}")], "item_id long, text string")
+    kept = decontaminate.decontaminate(docs, items)
+    assert kept.columns == docs.columns and [r["doc_id"] for r in kept.collect()] == [None]
+
+
 def test_lines_plan_has_no_python(make):
     plan = line_dedup.line_dedup(make([(1, "a\nb")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
