@@ -8,6 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from spindle.llm import decontaminate, line_dedup, simhash, substring_dedup
 from spindle.llm.components import connected_components
 
@@ -209,3 +210,14 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 10: 10, 11: 10, 20: 20, 21: 20} | {i: 100 for i in range(100, 140)} | {i: 200 for i in range(200, 261)}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_pipeline_drops_single_repeated_lines(spark, make):
+    a, b = "a line that two documents share", "once"
+    rows = [(1, f"x 1\n{a}\ny 1"), (2, f"x 2\n{a}\ny 2"), (3, a), (4, f"{b}\n \nx 4"), (5, f"y 5\n{b}"), (None, a)]
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.stage_lines(spark, make(rows), "").collect()}
+    seen, want = set(), {None: a}
+    for d, t in rows[:-1]:
+        want[d] = "\n".join(x for x in t.split("\n") if not x.strip() or x not in seen)
+        seen |= set(t.split("\n"))
+    assert got == {d: (t, len(t)) for d, t in want.items()}
