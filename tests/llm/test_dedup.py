@@ -221,3 +221,39 @@ def test_pipeline_drops_single_repeated_lines(spark, make):
         want[d] = "\n".join(x for x in t.split("\n") if not x.strip() or x not in seen)
         seen |= set(t.split("\n"))
     assert got == {d: (t, len(t)) for d, t in want.items()}
+
+
+def brute_firsts(rows, k=5, least=0.8):
+    sets = {}
+    for d, t in rows:
+        ws = (t or "").encode().lower().split()
+        sets[d] = {tuple(ws[i : i + k]) for i in range(max(1, len(ws) - k + 1))} if ws else set()
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            x, y = sets[a], sets[b]
+            if a < b and len(x & y) >= least * len(x | y) - 1e-9:
+                lo, hi = sorted((find(a), find(b)))
+                root[hi] = lo
+    return sorted(d for d in sets if find(d) == d)
+
+
+def test_pipeline_links_texts_at_similarity_of_four_fifths(spark, make, texts):
+    rng = np.random.default_rng(5)
+    rows = [(d, t) for d, t, *_ in texts if d is not None and d != 4] + [(4, texts[4][1])]
+    for g in range(12):  # copies with up to a dozen changed words, on both sides of 0.8, chained copies among them
+        base = [f"g{g}w{i}" for i in range(150)]
+        for i in range(8):
+            for j in rng.choice(150, rng.integers(0, 6), replace=False):
+                base[j] = f"c{g}x{i}y{j}"
+            rows.append((1000 + 10 * g + i, " ".join(base)))
+    rows += [(2000 + n, " ".join(f"s{i}" for i in range(n))) for n in (1, 4, 5, 6, 20, 21, 24, 25, 26)]
+    got = corpus_pipeline.stage_near(spark, make(rows), "")
+    assert sorted(r["doc_id"] for r in got.collect()) == brute_firsts(rows)
+    assert corpus_pipeline.stage_near(spark, make([]), "").count() == 0
