@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,10 +40,13 @@ def unused(df: DataFrame, name: str) -> str:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as the cluster names it.
 
-    Only where spark.checkpoint.dir is unset, as in tests on one machine, a folder of our own is set.
+    Where spark.checkpoint.dir is unset a folder of our own is set, if the session runs on one machine; else that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="spindle-", dir=_own_root())
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -54,9 +59,43 @@ def _own_root() -> str:
     return root
 
 
+#: Paths of the tables that `written` made and nobody removed yet.
+_WRITTEN: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` written to the shared folder and read back: its lineage ends there, so lost executors cost nothing before it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that `written` makes inside, at its end; what is returned from inside must not read them later."""
+    before = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        gone, _WRITTEN[before:] = _WRITTEN[before:], []
+        for path in gone:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Rows of a broadcast table of a few fixed-width columns: some 50 MB in memory.
+NARROW_ROWS = 1_000_000
+
+
+def narrow(df: DataFrame, name: str, rows: int = NARROW_ROWS) -> DataFrame:
+    """`df`, of a few fixed-width columns, written; with a broadcast hint only if its rows, counted, are within `rows`."""
+    kept = written(df, name)
+    return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """A string that is equal for rows of the same id and text only (up to 64 bits of the text's hash), also where either is null."""
+    part = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("null"))
+    return F.concat_ws(":", part(F.col(id_col).cast("string")), part(F.hex(F.xxhash64(F.col(text_col).cast("string")))))

@@ -23,12 +23,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table, written
 
 RISK, DELTA, LIFT = 0.05, 0.05, 10.0
 GRID = (0.8, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.06, 0.04, 0.03, 0.02, 0.01)
 BROADCAST_ROWS = 100_000
+#: The driver gets at most strata * rules * grid * 2 counts, so their number is bounded; more is an error, never a sample.
+MAX_STRATA = 10_000
 SYMBOLS, SPACES = b"#*$%&|<>", b"\t\n\x0b\x0c\r "
 WINDOW = 5
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_bangs")
@@ -72,16 +75,20 @@ def figures(text: bytes | None) -> tuple[int, ...]:
     )
 
 
-def text_figures(docs: DataFrame, id_col: str, text_col: str, stratum: Column) -> DataFrame:
+def text_figures(docs: DataFrame, id_col: str, text_col: str, stratum: Column, carry: bool = False) -> DataFrame:
+    """(doc_id, stratum, FIGURES), and if `carry` also text and `carried`, a struct of the other columns of `docs`."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             c = b.column(2)
             rows = [figures(t.as_py()) for t in c.cast(pa.binary() if pa.types.is_string(c.type) else pa.large_binary())]
             cols = np.array(rows, np.int64).reshape(-1, len(FIGURES))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(cols[:, i]) for i in range(len(FIGURES))]], names=["doc_id", "stratum", *FIGURES])
+            more = b.columns[2:] if carry else []
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(cols[:, i]) for i in range(len(FIGURES))], *more], names=["doc_id", "stratum", *FIGURES, *["text", "carried"][: len(more)]])
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), stratum.cast("string").alias("stratum"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, stratum string, " + ", ".join(f"{f} long" for f in FIGURES))
+    src = docs.select(F.col(id_col).alias("doc_id"), stratum.cast("string").alias("stratum"), F.col(text_col).cast("string").alias("text"), *[F.struct(*[c for c in docs.columns if c != text_col]).alias("carried")] * carry)
+    kept = src.schema.fields if carry else src.schema.fields[:2]
+    return src.mapInArrow(run, T.StructType([*kept[:2], *[T.StructField(f, T.LongType()) for f in FIGURES], *kept[2:]]))
 
 
 def _ratios() -> dict[str, Column]:
@@ -129,6 +136,8 @@ def cutoffs(scored: DataFrame, labels: DataFrame, risk: float = RISK, delta: flo
     joined = scored.where(~base_failed()).join(marks, "doc_id")
     step = lambda r: F.aggregate(F.array(*[F.lit(c) for c in GRID]), F.lit(0), lambda a, c: a + (r <= c).cast("int"))  # noqa: E731  grid steps not exceeded
     made = F.array(*[F.struct(F.lit(i).alias("rule"), step(r).alias("step")) for i, r in enumerate(_ratios().values())])
+    if marks.limit(1).count() and joined.select("stratum").distinct().limit(MAX_STRATA + 1).count() > MAX_STRATA:
+        raise ValueError(f"more than {MAX_STRATA} strata are labelled; certify by a coarser column")
     counts = joined.select("stratum", (F.col("quality") == 1).alias("good"), F.explode(made).alias("x")).groupBy("stratum", "x.rule", "good", "x.step").count()
     held: dict = defaultdict(lambda: [[0] * (len(GRID) + 1) for _ in range(2)])
     for r in counts.collect():
@@ -142,22 +151,23 @@ def cutoffs(scored: DataFrame, labels: DataFrame, risk: float = RISK, delta: flo
     return found
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", risk: float = RISK, delta: float = DELTA, lift: float = LIFT) -> DataFrame:
-    """(doc_id, FIGURES, base_failed, kept, failed_rules) for every row of `docs`.
+def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", risk: float = RISK, delta: float = DELTA, lift: float = LIFT, carry: bool = False) -> DataFrame:
+    """(doc_id, FIGURES, base_failed, kept, failed_rules) for every row of `docs`, and if `carry` also its text and `carried`, a struct of its other columns.
 
     Null and empty texts have figures 0 and fail the base; a null stratum is a stratum of its own; repeated rows
-    are judged each; rows with null ids are judged but can't be labelled; of labels with several rows for an id
+    are judged each; rows with null ids are judged but can't be labelled; ids keep their type; of labels with several rows for an id
     the smallest quality counts; without labels no rule is certified and the base decides alone.
-    An empty table gives an empty one; other columns are not read.
+    An empty table gives an empty one; other columns are not read unless carried.
     """
     spark = docs.sparkSession
-    scored = written(text_figures(docs, id_col, text_col, F.col(stratum_col)), "figures")
+    scored = written(text_figures(docs, id_col, text_col, F.col(stratum_col), carry), "figures")
     rows = cutoffs(scored, labels, risk, delta, lift)
     limits = spark.createDataFrame(rows, "s string, " + ", ".join(f"c_{r} double" for r in _ratios()))
     limits = F.broadcast(limits) if len(rows) <= BROADCAST_ROWS else limits
     met = scored.join(limits, F.col("stratum").eqNullSafe(F.col("s")), "left")
     failed = F.array_compact(F.array(*[F.when(v > F.col(f"c_{r}"), F.lit(r)) for r, v in _ratios().items()]))
-    return met.select("doc_id", *FIGURES, base_failed().alias("base_failed"), (~base_failed() & (F.size(failed) == 0)).alias("kept"), F.array_join(failed, ",").alias("failed_rules"))
+    more = ["text", "carried"] if carry else []
+    return met.select("doc_id", *FIGURES, base_failed().alias("base_failed"), (~base_failed() & (F.size(failed) == 0)).alias("kept"), F.array_join(failed, ",").alias("failed_rules"), *more)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,12 +52,17 @@ def test_super_kmers_cover_each_window_once():
     assert s[0] == 0 and (s[1:] == (s + c)[:-1]).all() and s[-1] + c[-1] == len(ws) - 49 and c.max() <= substring_dedup.LONGEST
 
 
-def brute_lines(rows, run=2, chars=line_dedup.RUN_CHARS):
+def brute_lines(rows, chars=40):
     spans = []
     for d, t in rows:
         if d is not None and t is not None:
             own = [(i, x) for i, x in enumerate(t.split("\n")) if x.encode().split()]
-            spans += [(d, xxhash.xxh64_intdigest(t), w[0][0], [i for i, _ in w], tuple(x for _, x in w)) for w in (own[j : j + run] for j in range(len(own) - run + 1)) if sum(len(x) for _, x in w) >= chars]
+            for j in range(len(own)):
+                e, n = j, len(own[j][1])
+                while n < chars and e + 1 < len(own):
+                    e, n = e + 1, n + len(own[e + 1][1])
+                if n >= chars or j == 0:
+                    spans.append((d, xxhash.xxh64_intdigest(t), j, [i for i, _ in own[j : e + 1]], tuple(x for _, x in own[j : e + 1])))
     first = {}
     for d, _, at, _, content in spans:
         first[content] = min(first.get(content, (d, at)), (d, at))
@@ -72,15 +77,41 @@ def brute_lines(rows, run=2, chars=line_dedup.RUN_CHARS):
     return sorted(out, key=str)
 
 
+def lines_of(got):
+    return sorted(((r["doc_id"], r["text"], r["n_removed"]) for r in got.collect()), key=str)
+
+
 def test_lines(make):
     a, b, c, d = (f"line {x} " * 8 for x in "abcd")
-    rows = [(1, f"{a}\n{b}\n{c}"), (2, f"x\n{a}\n{b}\n{c}\ny"), (3, f"{b}\n\n{c}\n{a}"), (4, f"{a}\n{a}\n{a}"), (5, "k\nk\nk"), (6, "k\nk"), (7, None), (8, ""), (9, "\n\n"), (2, f"x\n{a}\n{b}\n{c}\ny"), (None, f"{a}\n{b}"), (10, f"{d}\n{a}"), (11, f"{d}\n{a}" * 300)]
+    rows = [(1, f"{a}\n{b}\n{c}"), (2, f"x\n{a}\n{b}\n{c}\ny"), (3, f"{b}\n\n{c}\n{a}"), (4, f"{a}\n{a}\n{a}"), (5, "k\nk\nk"), (6, "k\nk"), (7, None), (8, ""), (9, "\n\n"), (2, f"x\n{a}\n{b}\n{c}\ny"), (None, f"{a}\n{b}"), (10, f"{d}\n{a}"), (11, f"{d}\n{a}" * 300), (12, "k\n \nk"), (13, d * 2000), (14, d * 2000), (10, f"\n{d}\nz")]
     got = line_dedup.line_dedup(make(rows))
-    assert sorted(((r["doc_id"], r["text"], r["n_removed"]) for r in got.collect()), key=str) == brute_lines(rows)
+    assert lines_of(got) == brute_lines(rows)
     assert "rule" in got.columns and "node" in got.columns
     assert line_dedup.line_dedup(make([])).count() == 0
 
 
+def test_lines_of_many_lengths(make):
+    rng = np.random.default_rng(6)
+    vocabulary = ["%d " % i * int(n) for i, n in enumerate(rng.integers(1, 16, 14))] + ["", " \t", "é" * 39, "é" * 40, "z" * 41]
+    rows = [(int(rng.integers(0, 90)), "\n".join(rng.choice(vocabulary, rng.integers(1, 14)))) for _ in range(120)]
+    assert lines_of(line_dedup.line_dedup(make(rows))) == brute_lines(rows)
+
+
+def test_windows_meet_by_their_fingerprints_alone(make, monkeypatch):
+    a = "a line of forty characters or more, so a window"
+    rows = [(1, f"{a}\nb"), (2, f"{a}\nc")]
+    assert [n for _, _, n in lines_of(line_dedup.line_dedup(make(rows)))] == [0, 1]
+    monkeypatch.setattr(line_dedup, "line_hash", lambda line: F.xxhash64(line, F.col("doc_id")))
+    assert [n for _, _, n in lines_of(line_dedup.line_dedup(make(rows)))] == [0, 0]
+
+
+def test_fewer_places_than_windows_are_selected(make):
+    docs = make([(1, "\n".join(f"short {i * i % 101}" for i in range(400)))])
+    got = line_dedup.places(docs)
+    windows = got.select(F.explode("windows")).count()
+    assert got.count() < 0.6 * windows and windows > 390
+
+
 def test_inner_names_may_be_taken(spark, make):
     line = "a line of words that is long enough to count in a run"
     docs = make([(1, f"{line}\n{line} b"), (2, f"{line}\n{line} b\nc"), (None, line)])
@@ -119,9 +150,9 @@ def brute_pairs(docs, items, k=5, least=0.8):
     return out
 
 
-@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_SHINGLES, 0])
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_BYTES, 0])
 def test_contained_items(spark, make, texts, monkeypatch, limit):
-    monkeypatch.setattr(decontaminate, "BROADCAST_SHINGLES", limit)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", limit)
     base = words(texts[4][1])
     item = lambda a, b: b" ".join(base[a:b]).decode()
     items = [(1, item(0, 40)), (2, item(10, 30).upper()), (3, item(0, 20) + " " + " ".join("zzz" for _ in range(30))), (4, item(50, 70) + " zz"), (5, "one"), (6, ""), (7, None), (None, item(0, 9)), (8, item(3, 6)), (1, item(0, 40)), (9, "absent words only here now then")]
@@ -135,6 +166,35 @@ def test_contained_items(spark, make, texts, monkeypatch, limit):
     assert decontaminate.contained_items(make([]), b).count() == 0 and decontaminate.contained_items(docs, b.limit(0)).count() == 0
 
 
+def test_sketches_are_small_decide_and_miss_nothing(spark, make, monkeypatch):
+    rng = np.random.default_rng(8)
+    item = [f"i{k}" for k in rng.permutation(400)]
+    items, docs = [], []
+    for i, n in enumerate((5, 6, 9, 12, 20, 36, 37, 150)):
+        items.append((i, " ".join(item[i : i + n])))
+        for j in range(30):  # windows broken by changed words, on both sides of the threshold
+            ws = items[-1][1].split()
+            for at in rng.choice(n, int(rng.integers(0, 1 + n // 20 + 1)), replace=False):
+                ws[at] = f"x{j}"
+            docs.append((1000 * i + j, " ".join([f"d{i}x{j}y{k}" for k in range(60)] + ws)))
+    b = spark.createDataFrame(items, "item_id long, text string")
+    sets, _ = decontaminate.item_shingles(b)
+    sketch = decontaminate.sketches(sets)
+    assert sketch.count() < 0.45 * sets.count()
+    want = brute_pairs(docs, items)
+    assert set(map(tuple, decontaminate.contained_items(make(docs), b).collect())) == want and 30 < len({d for d, i, *_ in want if i == d // 1000}) < 230
+    whole = decontaminate.sketches
+    monkeypatch.setattr(decontaminate, "sketches", lambda s, least: whole(s, least).where("item_id <> 5"))
+    assert set(map(tuple, decontaminate.contained_items(make(docs), b).collect())) == {p for p in want if p[1] != 5}
+
+
+def test_repeated_ids_are_judged_by_row(spark, make):
+    item = "one two three four five six"
+    rows = [(1, f"x {item} y"), (1, "clean text of the same number"), (None, f"{item}"), (None, "clean"), (2, None)]
+    kept = decontaminate.decontaminate(make(rows), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted((r["text"] for r in kept.collect()), key=str) == sorted([rows[1][1], item, "clean", None], key=str)
+
+
 def brute_fingerprint(t):
     low = bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode())
     ws = low.split()
