@@ -8,9 +8,11 @@ as one packed string (the words, joined) to the minimiser's bucket, where sortin
 windows finds each one's smallest document. The rest of the corpus never travels packed.
 
 A minimiser with more than HOT super-k-mers would make a bucket of unbounded size (copies and
-passages of a third of all documents). Its packed strings are first made distinct,
-which combines before the shuffle, and the windows of the distinct ones are then dealt out by a
-128-bit digest of each window instead of by minimiser, so one passage spreads over all tasks.
+passages of a third of all documents). Its packed strings are first made distinct, which combines
+before the shuffle: whoever is not the first to hold one loses all its windows. The distinct
+ones are cut again by the longer minimisers of LONGER words, into buckets that are sorted in the same way; what is
+crowded even there travels window by window, each its own bucket, and is combined before the shuffle.
+Windows are compared as strings everywhere, so equality is exact in hot buckets too.
 
 Documents are shuffled by id for cutting and again for removal (one exchange in a plan that reuses it).
 """
@@ -23,13 +25,12 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
 
-K, M, LONGEST, HOT = 50, 8, 256, 4096
+K, M, LONGEST, HOT, LONGER = 50, 8, 256, 1024, (24,)
 
 
 def super_kmers(ws: list[bytes], k: int = K, m: int = M, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -170,28 +171,75 @@ def _bucket(k: int):
     return run
 
 
-def _digests(k: int):
+def _cut(k: int, m: int):
+    """Packed strings, cut again into super-k-mers by minimisers of m words; their places follow on from that of the string."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                ds = [xxhash.xxh3_128_digest(w) for w in window_slices(b.column(1)[i].as_py(), k)]
-                at = pa.array(np.zeros(len(ds), np.int64) + i)
-                yield pa.RecordBatch.from_arrays([pa.array(ds, pa.binary()), b.column(0).take(at), pa.array(np.arange(len(ds), dtype=np.int32)), b.column(2).take(at)], names=["digest", "pk", "i", "d0"])
+            out: list[list] = [[], [], [], [], []]
+            for d, r, base, p in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                ws = p.split(b" ")
+                for mini, s, c in zip(*(x.tolist() for x in super_kmers(ws, k, m)), strict=True):
+                    for o, v in zip(out, (mini, d, r, base + s, b" ".join(ws[s : s + c + k - 1])), strict=True):
+                        o.append(v)
+                if len(out[0]) > 20_000:
+                    yield _pieces(out)
+                    out = [[], [], [], [], []]
+            if out[0]:
+                yield _pieces(out)
 
     return run
 
 
-def _hot(packed: DataFrame, k: int) -> DataFrame:
-    """Ranges to remove for the super-k-mers of hot minimisers."""
-    named = packed.withColumn("pk", F.md5("packed"))
-    distinct = written(named.groupBy("pk").agg(F.min("doc_id").alias("d0"), F.first("packed").alias("packed")), "distinct-packed")
-    windows = written(distinct.select("pk", "packed", "d0").mapInArrow(_digests(k), "digest binary, pk string, i int, d0 long"), "hot-windows")
-    least = written(windows.groupBy("digest").agg(F.min("d0").alias("least")), "least")
-    back = windows.join(least, "digest").groupBy("pk").agg(F.collect_list(F.struct("i", "least")).alias("ws"))
-    met = named.select("pk", "doc_id", "row", "s").join(written(back, "hot-least"), "pk")
-    under = F.filter("ws", lambda x: x.least < F.col("doc_id"))
-    gone = F.flatten(F.transform(under, lambda x: F.array(x.i + F.col("s"), x.i + F.col("s") + k)))
-    return met.select("doc_id", "row", gone.alias("gone")).where(F.size("gone") > 0)
+def _pieces(out: list[list]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, kinds, strict=True)], names=["mini", "doc_id", "row", "s", "packed"])
+
+
+def _sorted_buckets(packed: DataFrame, k: int) -> DataFrame:
+    """(doc_id, row, gone) of packed strings, by sorting the windows of each minimiser's bucket."""
+    dealt = packed.select("mini", "doc_id", "row", "s", "packed").repartition("mini").sortWithinPartitions("mini", "packed", "doc_id")
+    return dealt.mapInPandas(_bucket(k), "doc_id long, row long, gone array<int>")
+
+
+def _found_again(runs: DataFrame, hot: int, name: str) -> DataFrame:
+    """(mini, hot): minimisers of two documents or more, and whether they have more than `hot` super-k-mers."""
+    again = runs.groupBy("mini").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+    return written(again.select("mini", (F.col("n") > hot).alias("hot")), name)
+
+
+def _hot(packed: DataFrame, k: int, hot: int, longer: tuple[int, ...]) -> DataFrame:
+    """(doc_id, row, gone) of the super-k-mers of hot minimisers."""
+    heads = packed.groupBy("mini", "packed").agg(F.min("doc_id").alias("d0")).withColumn("head", F.monotonically_increasing_id())
+    heads = written(heads, "distinct-packed")
+    met = written(packed.join(heads, ["mini", "packed"]).select("doc_id", "row", "s", "c", "d0", "head"), "occurrences")
+    gone = met.where("doc_id > d0").select("doc_id", "row", F.array(F.col("s"), F.col("s") + F.col("c") + (k - 1)).alias("gone"))
+    left, inner = heads.select(F.col("d0").alias("doc_id"), F.col("head").alias("row"), F.lit(0).alias("s"), "packed"), None
+    for m in longer:
+        cut = written(left.mapInArrow(_cut(k, m), "mini long, doc_id long, row long, s int, packed binary"), "cut-again")
+        cut = cut.join(_found_again(cut, hot, "longer-minimisers"), "mini")
+        part = _sorted_buckets(cut.where("not hot"), k)
+        inner = part if inner is None else inner.union(part)
+        left = cut.where("hot").select("doc_id", "row", "s", "packed")
+    windows = written(left.mapInArrow(_windows(k), "window binary, doc_id long, row long, s int"), "hot-windows")
+    least = windows.groupBy("window").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("window", "x")
+    late = windows.join(written(least, "least"), "window").where("doc_id > x").select("doc_id", "row", F.array(F.col("s"), F.col("s") + k).alias("gone"))
+    inner = late if inner is None else inner.union(late)
+    inner = written(inner.groupBy("row").agg(F.flatten(F.collect_list("gone")).alias("inside")), "head-ranges").withColumnRenamed("row", "head")  # a head's, so as long as it at most
+    own = met.where("doc_id = d0").join(inner, "head")
+    return gone.union(own.select("doc_id", "row", F.transform("inside", lambda x: x + F.col("s")).alias("gone")))
+
+
+def _windows(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                ws = window_slices(b.column(3)[i].as_py(), k)
+                at = pa.array(np.zeros(len(ws), np.int64) + i)
+                places = np.arange(len(ws), dtype=np.int32) + b.column(2)[i].as_py()
+                yield pa.RecordBatch.from_arrays([pa.array(ws, pa.binary()), b.column(0).take(at), b.column(1).take(at), pa.array(places.astype(np.int32))], names=["window", "doc_id", "row", "s"])
+
+    return run
 
 
 def _remove():
@@ -224,13 +272,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("row"), F.col(text_col).cast("string").alias("text"))
     runs = written(src.where("doc_id is not null and text is not null").mapInArrow(_describe(k, m), "mini long, doc_id long, row long, s int, c int"), "super-k-mers")
-    again = runs.groupBy("mini").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-    again = written(again.select("mini", (F.col("n") > hot).alias("hot")), "minimisers")
+    again = _found_again(runs, hot, "minimisers")
     spans = runs.join(again, "mini").groupBy("doc_id", "row").agg(F.collect_set(F.struct("mini", "s", "c", "hot")).alias("spans"))  # a document's, so as long as its text at most
     packed = src.join(written(spans, "spans"), ["doc_id", "row"], "left").select("doc_id", "row", "text", "spans")
     packed = written(packed.mapInArrow(_pack(k), "mini long, doc_id long, row long, s int, c int, hot boolean, packed binary"), "packed")
-    dealt = packed.where("not hot").select("mini", "doc_id", "row", "s", "packed").repartition("mini").sortWithinPartitions("mini", "packed", "doc_id")
-    gone = dealt.mapInPandas(_bucket(k), "doc_id long, row long, gone array<int>").union(_hot(packed.where("hot"), k))
+    gone = _sorted_buckets(packed.where("not hot"), k)
+    if packed.where("hot").limit(1).count():
+        gone = gone.union(_hot(packed.where("hot"), k, hot, tuple(n for n in LONGER if m < n < k)))
     gone = gone.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("gone")).alias("gone"))
     return src.join(gone, ["doc_id", "row"], "left").select("doc_id", "text", "gone").mapInArrow(_remove(), "doc_id long, text string, n_words long, n_removed long")
 

@@ -36,12 +36,21 @@ def brute_substrings(rows, k=50):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("hot", [substring_dedup.HOT, 1])
-def test_substrings(make, texts, hot):
+@pytest.mark.parametrize(("hot", "longer"), [(substring_dedup.HOT, substring_dedup.LONGER), (1, substring_dedup.LONGER), (1, (16, 32)), (3, ()), (0, (24,))])
+def test_substrings(make, texts, hot, longer, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "LONGER", longer)
     got = substring_dedup.substring_dedup(make(texts), hot=hot).select("doc_id", "n_words", "n_removed", F.sha2("text", 256)).collect()
     assert sorted(map(tuple, got), key=str) == brute_substrings([r[:2] for r in texts])
 
 
+def test_a_passage_of_many_documents(make):
+    passage = " ".join(f"p{i}" for i in range(80))
+    rows = [(i, " ".join(f"a{i}x{j}" for j in range(i % 5 * 20)) + f" {passage} " + " ".join(f"b{i % 3}x{j}" for j in range(60))) for i in range(60)]
+    rows += [(100 + i, rows[7][1]) for i in range(20)] + [(3, rows[3][1])]
+    got = substring_dedup.substring_dedup(make(rows), hot=8).select("doc_id", "n_words", "n_removed", F.sha2("text", 256)).collect()
+    assert sorted(map(tuple, got), key=str) == brute_substrings(rows)
+
+
 def test_substrings_of_nothing(make):
     assert substring_dedup.substring_dedup(make([])).count() == 0
 
