@@ -156,6 +156,53 @@ def test_added_spans(make):
     assert all(len(got[i]["spans"]) == len(got[i]["base"]) == 1 for i in range(400))
 
 
+def test_credentials_are_learnt_from_names_and_found_without(make):
+    import hashlib
+
+    value = lambda i: hashlib.sha1(b"%d" % i).hexdigest()
+    rows = [(i, f'words before token = "{value(i)}" and after incomprehensibilities {i}') for i in range(300)]
+    rows += [(1000 + i, f'words before "{value(5000 + i)}" and after internationalisation') for i in range(5)]
+    got = {r["doc_id"]: r["spans"] for r in pii.find_pii(make(rows), precision=0.9).collect()}
+    for d, t in rows:
+        at = t.index('"') + 1
+        assert [(s["kind"], s["start"], s["end"]) for s in got[d]] == [("secret", at, at + 40)]
+
+
+def test_overlapping_candidates_are_chosen_by_total_score(spark):
+    import itertools
+
+    rng = np.random.default_rng(2)
+    groups = []
+    for _ in range(150):
+        n = int(rng.integers(1, 9))
+        starts = np.sort(rng.integers(0, 30, n))
+        groups.append(sorted((int(s), int(s + rng.integers(1, 12)), "email", float(rng.integers(1, 64)) / 64) for s in starts))
+    df = spark.createDataFrame([(i, g) for i, g in enumerate(groups)], "i long, held array<struct<start:long,end:long,kind:string,p:double>>")
+    got = {r["i"]: [tuple(x) for x in r["own"]] for r in df.select("i", pii.best_apart("held").alias("own")).collect()}
+    for i, g in enumerate(groups):
+        apart = lambda own: all(a[1] <= b[0] for a, b in itertools.pairwise(own))
+        most = max(sum(x[3] for x in own) for k in range(1, len(g) + 1) for own in itertools.combinations(g, k) if apart(own))
+        assert apart(got[i]) and sum(x[3] for x in got[i]) == most
+
+
+def test_a_card_needs_its_sum(make):
+    """Groups of 16 digits with other separators are added if they pass; those that fail are not, though they look alike."""
+    import random
+
+    r = random.Random(4)
+
+    def number(ok):
+        while True:
+            d = "".join(r.choice("0123456789") for _ in range(16))
+            if luhn(d) == ok:
+                return d
+
+    rows = [(i, f"card no {number(True)} paid") for i in range(200)] + [(1000 + i, "card no {0[0]}.{0[1]}.{0[2]}.{0[3]} paid".format([number(i % 2 == 0)[j : j + 4] for j in (0, 4, 8, 12)])) for i in range(8)]
+    got = {x["doc_id"]: x for x in pii.find_pii(make(rows), precision=0.9).collect()}
+    for d, t in rows[200:]:
+        assert not got[d]["base"] and all(luhn(digits(t[s["start"] : s["end"]])) for s in got[d]["spans"])
+
+
 def test_pii_plan_has_no_python(make):
     plan = pii._spans(make([(1, "a@b.c")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
