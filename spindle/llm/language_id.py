@@ -27,6 +27,10 @@ TRAIN_WINDOWS, TRAIN_BYTES, EPOCHS, BATCH, RATE, SEED = 1200, 64, 6, 128, 0.02,
 MAX_WINDOWS_OF_A_DOC = 8
 
 
+#: Values of lang that may be learnt; each is an output unit.
+MAX_LANGUAGES = 1000
+
+
 class BiGru:
     """x: byte tables (2, 3H, 257) holding the gates' inputs; u: recurrences (2, 3H, H); o, c: the output layer.
 
@@ -176,7 +180,9 @@ class BiGru:
 def train(docs: DataFrame, per_language: int = TRAIN_WINDOWS, n_bytes: int = TRAIN_BYTES, fold_of: int = 5) -> BiGru | None:
     """A network learnt from text and lang outside the held-out fold; None if there is nothing to learn from."""
     src = docs.where("lang is not null and text is not null and length(text) > 0").where(fold(F.col("doc_id"), fold_of) != 0).select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["count"] for r in src.groupBy("lang").count().collect()}  # a row for each language
+    counts = {r["lang"]: r["count"] for r in src.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}  # a row for each language
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} values of lang")
     if not counts:
         return None
     # A language with few rows gives several windows of each; one with many, a hashed share of its rows.
@@ -197,10 +203,10 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, held_out, lang_pred, score) for every row of `docs`.
 
     lang_pred is `und`, with score 0, for null texts and texts without a letter, and for all if no language could
-    be learnt. A null lang is not learnt from; a null id is in a fold as the empty text; repeated rows are judged each; an empty
+    be learnt. A null lang is not learnt from; a null id is in a fold as the empty text; repeated rows are judged each; ids keep their type; an empty
     table gives an empty one; other columns are not read.
     """
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     model = train(src, per_language)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +226,7 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
 
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    found = src.select("doc_id", "text", lettered.alias("lettered")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    found = src.select("doc_id", "text", lettered.alias("lettered")).mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
     return found.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
 
 

@@ -7,8 +7,9 @@ quota for every shard. A shard's quota takes every block q // n times and the fi
 q % n blocks of a seeded permutation once more, so no block, and so no document, is
 taken more often than the cap allows.
 
-The driver holds one row for each source and shard: `n_shards` and the number of
-sources bound them, not the documents. A shard's documents are lined up by a window
+The driver holds one row for each source and shard: the number of sources, which must be within MAX_SOURCES, and
+`n_shards` bound them, not the documents; shards grow in number only beyond SHARD_MOST words each, which keeps products of
+words and blocks below 2^60. A shard's documents are lined up by a window
 over (doc_id, size) rows without texts; the hottest source has the most shards.
 """
 
@@ -27,6 +28,7 @@ from .common import table, words, written
 
 WEIGHTS, TOTAL, CAP = (3, 1, 2), Fraction(3, 2), 2
 N_SHARDS, SHARD_WORDS, BLOCK_WORDS, SEED = 2048, 4096, 16, 7
+MAX_SOURCES, SHARD_MOST = 1_000_000, 1 << 28
 #: Rows of the plan that may be broadcast (about 100 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 100_000
 
@@ -117,8 +119,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     spark = docs.sparkSession
     sized = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.size(words(F.col(text_col))).cast("long").alias("size")), "sizes")
-    sources = sized.groupBy("source").agg(F.sum("size").alias("n")).collect()  # a row for each source
+    sources = sized.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()  # a row for each source
+    if len(sources) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources; mix by a coarser column")
     everything = sum(r["n"] for r in sources)
+    n_shards = max(n_shards, -(-everything // SHARD_MOST))
     count = {r["source"]: max(1, min(round(n_shards * r["n"] / everything) if everything else 1, r["n"] // SHARD_WORDS)) for r in sources}
 
     def placed(found: DataFrame, small: bool) -> DataFrame:

@@ -114,14 +114,16 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> F
     """`docs`: doc_id, text, n_chars; `labels`: doc_id, quality. Of several labels for an id the smallest counts."""
     marks = labels.where("doc_id is not null and quality in (0, 1)").where(fold(F.col("doc_id")) != 0)
     marks = marks.groupBy("doc_id").agg(F.min("quality").alias("y")).orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(train_rows)
-    ids = docs.sparkSession.createDataFrame(marks.collect(), "id long, y long")  # at most train_rows
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    ids = docs.sparkSession.createDataFrame(marks.select(F.col("doc_id").cast(id_type), "y").collect(), f"id {id_type}, y long")  # at most train_rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in _featured(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.list_(pa.int32())), part.column(3)], names=["doc_id", "features", "y"])
 
     met = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select("doc_id", "text", "n_chars", "y")
-    got = met.mapInArrow(run, "doc_id long, features array<int>, y long").toArrow()
+    made = met.mapInArrow(run, f"doc_id {id_type}, features array<int>, y long")
+    got = made.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), F.xxhash64("features")).limit(train_rows).toArrow()  # ids may repeat
     rows = [np.asarray(x.values, np.int32) for x in got.column("features")]
     order = sorted(range(len(rows)), key=lambda i: (got.column("doc_id")[i].as_py(), len(rows[i]), rows[i].tobytes()))
     y = got.column("y").to_numpy()
@@ -132,17 +134,17 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """(doc_id, held_out, score, predicted) for every row of `docs`.
 
     Labels are learnt only outside the held-out fold. Null and empty texts are scored by their structure alone; a
-    null number of characters counts as 0; repeated rows are scored each; without labels every score is 0.5; an empty
+    null number of characters counts as 0; repeated rows are scored each; ids keep their type; without labels every score is 0.5; an empty
     table gives an empty one; other columns are not read.
     """
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(chars_col).cast("long").alias("n_chars"))
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(chars_col).cast("long").alias("n_chars"))
     model = train(src, labels, train_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in _featured(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(rows))], names=["doc_id", "score"])
 
-    scored = src.mapInArrow(run, "doc_id long, score double")
+    scored = src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, score double")
     return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 

@@ -169,7 +169,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, fp, component_id): every document with its fingerprint and the smallest id that links reach.
 
     Links join fingerprints at `radius` or fewer differing bits and are followed transitively.
-    Null texts and texts without words have fingerprint 0, which links as any other; of repeated
+    Ids must be whole numbers. Null texts and texts without words have fingerprint 0, which links as any other; of repeated
     rows of one id each is kept; rows with a null id keep a null component unless a link gives one. Columns other
     than the two named ones are not read, so clashing names do no harm; an empty table gives
     an empty one.

@@ -266,7 +266,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, text, n_words, n_removed): kept words joined by one space, for every row of `docs`.
 
     A word goes if a window of `k` words over it also starts in a document of a smaller id; windows are judged
-    on the input. Null and blank texts have no words and give an empty text; rows of a null id are returned and
+    on the input. Ids must be whole numbers. Null and blank texts have no words and give an empty text; rows of a null id are returned and
     neither remove nor lose words; rows of one id don't remove each other's words; an empty table gives an
     empty one; other columns are not read.
     """

@@ -1,13 +1,14 @@
-"""URL filters over a sorted digest array.
+"""URL filters over sorted digest arrays.
 
-A list of rules (host and path prefix, allow or block) becomes one file: the 64-bit
-xxhash keys in sorted order, then the strings themselves. The file is written to the
-shared folder and handed out by Spark; workers memory-map it, so its pages are shared by
+A list of rules (host and path prefix, allow or block) becomes files, each of the 64-bit
+xxhash keys in sorted order, then the strings themselves. They are written to the
+shared folder and handed out by Spark; workers memory-map them, so their pages are shared by
 the workers of a machine and only what is probed is read. A batch of URLs makes all its
-candidate keys, every host suffix with every path length the list has, and probes them
-with one vectorised binary search; a hit counts only if the stored string is equal.
+candidate keys, every host suffix and every path length that the list has, and probes them
+with one vectorised binary search a file; a hit counts only if the stored string is equal.
 
-No shuffle and no broadcast: the list's size is bounded by disk, not memory.
+A list in a table is dealt by crc32 into files of some SHARD_ROWS entries, which tasks pack; the driver passes them on one
+at a time, so a list is bounded by the executors' disks. Pages are not shuffled and nothing is broadcast.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_dir, table
+from .common import shared_dir, table, written
 
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 #: Hosts blocked with all subdomains where no rule fits.
@@ -32,6 +34,7 @@ BLOCKED = (
     "casino-win.example.com", "free-bets.example.com", "cheap-pills.example.com",
     "ads-track.example.com", "spam-farm.example.com", "adult-x.example.net",
 )
+SHARD_ROWS = 1_000_000
 _LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -45,7 +48,8 @@ def packed_list(entries: list[tuple[str, str]]) -> bytes:
     offsets = np.concatenate([[0], np.cumsum([len(s) for s in raw])]).astype(np.int64)
     block = np.array([unique[i][1] == "block" for i in order], np.uint8)
     paths = sorted({len(s) - len(s.partition("/")[0]) for s, _ in unique})
-    head = json.dumps({"n": len(raw), "paths": paths}).encode()
+    hosts = sorted({len(s.partition("/")[0]) for s, _ in unique})
+    head = json.dumps({"n": len(raw), "paths": paths, "hosts": hosts}).encode()
     head += b" " * (-(len(head) + 1) % 8) + b"\n"
     return head + keys[order].tobytes() + offsets.tobytes() + block.tobytes() + b"".join(raw)
 
@@ -57,7 +61,7 @@ class DigestList:
         with open(path, "rb") as f:
             head = f.readline()
         meta = json.loads(head)
-        self.paths, n = meta["paths"], meta["n"]
+        self.paths, self.hosts, n = meta["paths"], set(meta["hosts"]), meta["n"]
         self._map = np.memmap(path, np.uint8, "r")
         at = len(head)
         self.keys = self._map[at : at + 8 * n].view(np.uint64)
@@ -82,24 +86,48 @@ class DigestList:
         return found.tolist()
 
 
-def _matches(lists: DigestList, hosts: list[str], paths: list[str]) -> list[tuple[str, bool] | None]:
-    """For each URL the longest entry that fits (of equal lengths, the one of the longer host) and whether it blocks."""
+class DigestLists:
+    """The files of one list: an entry is in that of its crc32."""
+
+    def __init__(self, paths: list[str]) -> None:
+        self.parts = [DigestList(p) for p in paths]
+        self.paths = sorted({n for p in self.parts for n in p.paths})
+        self.hosts = {n for p in self.parts for n in p.hosts}
+
+    def probe(self, candidates: list[bytes]) -> list[bool | None]:
+        """For each candidate whether its entry blocks, or None if there is none."""
+        found: list[bool | None] = [None] * len(candidates)
+        own: list[list[int]] = [[] for _ in self.parts]
+        for i, c in enumerate(candidates):
+            own[crc32(c) % len(self.parts)].append(i)
+        for part, at in zip(self.parts, own, strict=True):
+            for i, j in zip(at, part.probe([candidates[i] for i in at]), strict=True):
+                if j >= 0:
+                    found[i] = bool(part.block[j])
+        return found
+
+
+def _matches(lists: DigestLists, hosts: list[str], paths: list[str]) -> list[tuple[str, bool] | None]:
+    """For each URL the longest entry that fits (of equal lengths, the one of the longer host) and whether it blocks.
+
+    Only suffixes and prefixes of lengths that the list has are made, so a URL of any length makes few.
+    """
     candidates: list[str] = []
     owner: list[int] = []
     for i, (host, path) in enumerate(zip(hosts, paths, strict=True)):
-        own = []
+        at = 0
         while True:
-            own += [host + path[:n] for n in lists.paths if len(path) >= n]
-            dot = host.find(".")
-            if dot < 0:
+            if len(host) - at in lists.hosts:
+                own = [host[at:] + path[:n] for n in lists.paths if len(path) >= n]
+                candidates += own
+                owner += [i] * len(own)
+            at = host.find(".", at) + 1
+            if not at:
                 break
-            host = host[dot + 1 :]
-        candidates += own
-        owner += [i] * len(own)
     best: list[tuple[str, bool] | None] = [None] * len(hosts)
-    for i, c, j in zip(owner, candidates, lists.probe([c.encode() for c in candidates]), strict=True):
-        if j >= 0 and (best[i] is None or len(c) > len(best[i][0])):
-            best[i] = (c, bool(lists.block[j]))
+    for i, c, blocks in zip(owner, candidates, lists.probe([c.encode() for c in candidates]), strict=True):
+        if blocks is not None and (best[i] is None or len(c) > len(best[i][0])):
+            best[i] = (c, blocks)
     return best
 
 
@@ -117,24 +145,53 @@ def _handed_out(spark: SparkSession, data: bytes) -> str:
     return name
 
 
-def url_filter(pages: DataFrame, url_col: str = "url", rules: tuple = RULES, blocked: tuple = BLOCKED) -> DataFrame:
+def listed(spark: SparkSession, entries: tuple | list | DataFrame, shard_rows: int = SHARD_ROWS) -> list[str]:
+    """The names of the files of a list: pairs of entry and verdict, or a table of columns entry and verdict.
+
+    Of repeated entries the first counts, in a table that which allows. Null entries are left out.
+    """
+    if not isinstance(entries, DataFrame):
+        return [_handed_out(spark, packed_list(list(entries)))]
+    unique = written(entries.where("entry is not null").groupBy("entry").agg(F.min("verdict").alias("verdict")), "list")
+    n = max(1, -(-unique.count() // shard_rows))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = -1, []
+        for b in batches:
+            for shard, entry, verdict in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if shard != at and own:
+                    yield pa.RecordBatch.from_pydict({"shard": [at], "data": [packed_list(own)]})
+                    own = []
+                at = shard
+                own.append((entry, verdict))
+        if own:
+            yield pa.RecordBatch.from_pydict({"shard": [at], "data": [packed_list(own)]})
+
+    dealt = unique.select((F.crc32(F.col("entry").cast("binary")) % n).alias("shard"), "entry", "verdict").repartition(n, "shard").sortWithinPartitions("shard")
+    packed = written(dealt.mapInArrow(pack, "shard long, data binary"), "packed-list")
+    files = {r["shard"]: _handed_out(spark, bytes(r["data"])) for r in packed.toLocalIterator()}
+    empty = None if len(files) == n else _handed_out(spark, packed_list([]))
+    return [files.get(i, empty) for i in range(n)]
+
+
+def url_filter(pages: DataFrame, url_col: str = "url", rules: tuple | DataFrame = RULES, blocked: tuple | DataFrame = BLOCKED) -> DataFrame:
     """All columns of `pages` plus host, path, rule and verdict.
 
     Host: after the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased; path: from there up to `?`, `#` or
     the end. A rule fits its host and subdomains where the path starts with its own; the longest one decides.
     Where none fits, `rule` is null and the block list of hosts decides, allowing what it doesn't hold. A null
     URL or one without `://` has an empty host and path, fits only what an empty host fits, and is allowed.
-    Repeated rows are judged each; an empty table gives an empty one; columns of the four new names are replaced.
+    `rules` are pairs, or a table, of entry and verdict; `blocked` are hosts, or a table with a column host. Repeated rows are judged each; an empty table gives an empty one; columns of the four new names are replaced.
     """
     spark = pages.sparkSession
-    rule_file = _handed_out(spark, packed_list(list(rules)))
-    block_file = _handed_out(spark, packed_list([(h, "block") for h in blocked]))
+    rule_files = listed(spark, rules)
+    block_files = listed(spark, blocked.select(F.col("host").alias("entry"), F.lit("block").alias("verdict")) if isinstance(blocked, DataFrame) else [(h, "block") for h in blocked])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ruled, listed = (DigestList(SparkFiles.get(f)) for f in (rule_file, block_file))
+        ruled, bad_hosts = (DigestLists([SparkFiles.get(f) for f in names]) for names in (rule_files, block_files))
         for b in batches:
             hosts, paths = b.column("host").to_pylist(), b.column("path").to_pylist()
-            best, bad = _matches(ruled, hosts, paths), _matches(listed, hosts, paths)
+            best, bad = _matches(ruled, hosts, paths), _matches(bad_hosts, hosts, paths)
             verdicts = ["block" if (x[1] if x else y is not None) else "allow" for x, y in zip(best, bad, strict=True)]
             new = [pa.array([x and x[0] for x in best], pa.string()), pa.array(verdicts, pa.string())]
             yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, "rule", "verdict"])

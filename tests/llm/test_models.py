@@ -1,6 +1,5 @@
 """Language identification, quality classification, personal data; the pipeline."""
 
-import hashlib
 import os
 import re
 
@@ -8,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spindle.llm import language_id, pii, quality_classifier
+from spindle.llm import language_id, pii, quality_classifier, quality_rules
 from spindle.llm.common import fold
 
 SF = "/root/testdata/sf0.01"
@@ -208,10 +207,27 @@ def test_pii_plan_has_no_python(make):
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
+def test_ids_may_be_texts_null_or_repeated(spark):
+    words = {"xx": "alpha beta gamma delta", "yy": "uno dos tres cuatro"}
+    rows = [(None if i % 50 == 0 else f"id{i % 150}", f"{words[k]} {i} " * (1 + i % 4), k, "z", "t") for i in range(200) for k in words]
+    rows += [("long", "alpha beta " * 30_000, "xx", "z", "t"), ("id1", None, "xx", "z", "t"), ("id1", "", "yy", "z", "t")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string, score string, features string").withColumn("n_chars", F.length("text").cast("long"))
+    langs = language_id.language_id(docs, per_language=40)
+    assert langs.count() == len(rows) and langs.schema["doc_id"].dataType.simpleString() == "string"
+    assert {r["lang_pred"] for r in langs.where("doc_id = 'id1' and lang_pred = 'und'").collect()} == {"und"}
+    labels = docs.where("doc_id is not null and text > ''").groupBy("doc_id").agg((F.max("lang") == "xx").cast("int").alias("quality"))
+    scores = quality_classifier.quality_scores(docs, labels.union(labels))
+    assert scores.count() == len(rows) and scores.where("score between 0 and 1").count() == len(rows)
+    assert quality_classifier.quality_scores(docs.limit(0), labels).count() == 0 and language_id.language_id(docs.limit(0)).count() == 0
+    rules = quality_rules.quality_rules(docs, labels, carry=True)
+    assert rules.count() == len(rows) and rules.select("carried.score").first()[0] == "z"
+
+
 @needs_tables
 def test_pipeline(spark):
     import corpus_pipeline as p
-    from spindle.llm import decontaminate, line_dedup, mixing, quality_rules, simhash
+    from spindle.llm import decontaminate, line_dedup, mixing
+    from test_dedup import brute_firsts
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("labels", "benchmark"))
@@ -220,11 +236,36 @@ def test_pipeline(spark):
     want = {r["doc_id"] for r in quality_rules.quality_rules(docs, labels).where("kept").collect()}
     assert kept.columns == p.COLUMNS and {r["doc_id"] for r in kept.collect()} == want
     cleaned = stages["line_dedup"](spark, kept, SF)
-    assert {(r["doc_id"], r["text"]) for r in cleaned.collect()} == {(r["doc_id"], r["text"]) for r in line_dedup.line_dedup(kept).collect()}
+    assert {(r["doc_id"], r["text"]) for r in cleaned.collect()} == {(r["doc_id"], r["text"]) for r in line_dedup.line_dedup(kept, run_chars=1).collect()}
     firsts = stages["simhash_near_dedup"](spark, cleaned, SF)
-    assert {r["doc_id"] for r in firsts.collect()} == {r["component_id"] for r in simhash.near_duplicates(cleaned).collect()}
+    assert sorted(r["doc_id"] for r in firsts.collect()) == brute_firsts([(r["doc_id"], r["text"]) for r in cleaned.collect()])
     clean = stages["benchmark_decontamination"](spark, firsts, SF)
     bad = {r["doc_id"] for r in decontaminate.contained_items(firsts, items).collect()}
     assert {r["doc_id"] for r in clean.collect()} == {r["doc_id"] for r in firsts.collect()} - bad
     assert sorted(map(tuple, p.run(spark, SF).collect())) == sorted(map(tuple, mixing.mix(clean).collect()))
-    assert hashlib.sha256(b"").hexdigest()[:4] == "e3b0"
+
+
+def test_pipeline_keeps_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline as p
+
+    line = lambda i: " ".join(f"w{i}x{j}" for j in range(40))
+    item = "the answer to this question is known to be forty two"
+    rows = [(1, line(1)), (1, "too short"), (1, f"{line(2)} {item}"), (None, line(3)), (None, "too short"), (2, line(1)), (2, line(4)), (None, line(4)), (3, None), (4, ""), (5, line(5)), (5, line(5)), (6, f"{line(6)} x" * 3000)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or ""), "clash") for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, row string")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = p.stage_rules(spark, docs, str(tmp_path))
+    want = [r for r in rows if len((r[1] or "").split()) >= 10 and r[0] != 6]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(want, key=str)
+    near = p.stage_near(spark, kept, str(tmp_path))
+    want = [(1, line(1)), (1, f"{line(2)} {item}"), (None, line(3)), (2, line(4)), (5, line(5))]
+    assert sorted(((r["doc_id"], r["text"]) for r in near.collect()), key=str) == sorted(want, key=str)
+    clean = p.stage_benchmark(spark, near, str(tmp_path))
+    assert sorted(((r["doc_id"], r["text"]) for r in clean.collect()), key=str) == sorted((r for r in want if item not in r[1]), key=str)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert p.run(spark, str(tmp_path)).count() >= 4
+    empty = tmp_path / "none"
+    for t in ("benchmark", "labels"):
+        spark.read.parquet(f"{tmp_path}/{t}.parquet").limit(0).write.parquet(f"{empty}/{t}.parquet")
+    docs.limit(0).write.parquet(f"{empty}/documents.parquet")
+    assert p.run(spark, str(empty)).count() == 0

@@ -139,6 +139,35 @@ def test_urls(spark):
     assert url_filter.url_filter(df.limit(0)).count() == 0
 
 
+def test_lists_may_be_tables(spark):
+    hosts = [(f"h{i}.example.{'com' if i % 2 else 'net'}",) for i in range(500)] + [(None,), ("h1.example.com",)]
+    table = spark.createDataFrame(hosts, "host string")
+    entries = table.select(F.col("host").alias("entry"), F.lit("block").alias("verdict"))
+    assert len(url_filter.listed(spark, entries, shard_rows=100)) == 5 and len(url_filter.listed(spark, entries.limit(0))) == 1
+    rules = spark.createDataFrame(list(url_filter.RULES), "entry string, verdict string")
+    urls = [f"s://{'' if i % 3 else 'a.b.'}h{i}.example.com/x" for i in range(40)] + ["s://h2.example.net", "s://xh2.example.net", None]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = [(r["rule"], r["verdict"]) for r in url_filter.url_filter(df, rules=rules, blocked=table).orderBy("page_id").collect()]
+    assert got == [(None, "block" if i % 2 else "allow") for i in range(40)] + [(None, "block"), (None, "allow"), (None, "allow")]
+
+
+def test_very_long_hosts_make_few_candidates(spark):
+    import time
+
+    df = spark.createDataFrame([(1, "s://" + "a." * 200_000 + "casino-win.example.com/" + "p/" * 100_000)], "page_id long, url string")
+    began = time.time()
+    assert [r["verdict"] for r in url_filter.url_filter(df).collect()] == ["block"] and time.time() - began < 20
+
+
+def test_mixing_of_many_words_does_not_overflow(make, monkeypatch):
+    """Products of words and blocks are bounded by the shard, whatever the corpus: shards of SHARD_MOST words have room to spare."""
+    n = mixing.SHARD_MOST * 2
+    assert (n // mixing.BLOCK_WORDS + 1) * n < 2**60
+    monkeypatch.setattr(mixing, "SHARD_MOST", 50)
+    got = mixing.mix(make([(i, "w " * 30) for i in range(400)]), n_shards=1).collect()
+    assert sum(r["taken"] for r in got) == 18_000
+
+
 def test_colliding_keys_are_told_apart(tmp_path, monkeypatch):
     monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda s: len(s))
     entries = [("aaa.org/", "block"), ("bbb.org/", "allow"), ("c.net/x", "block"), ("bbb.org/", "block")]
