@@ -88,7 +88,8 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
         met = found if met is None else met.union(found)
     candidates = _small(written(met.distinct(), "candidates"), "doc_id", "item")
     chosen = candidates.select(F.col("doc_id").alias("chosen"))
-    again = texts.join(chosen, F.col("doc_id") == F.col("chosen"), "left_semi")
+    again = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(chosen, F.col("doc_id") == F.col("chosen"), "left_semi")
+    again = _lowered(again, "doc_id", "text", "doc_id")  # only now are texts cut into words
     side = _small(sets, "s", "item_id").select("item_id", "m", F.col("h").alias("ih"), F.col("s").alias("is"))
     hits = None
     for m in [k, *short]:
