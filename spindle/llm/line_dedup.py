@@ -109,7 +109,7 @@ def repeated_lines(docs: DataFrame, run_chars: int = RUN_CHARS) -> DataFrame:
     gone = met.where(F.size("same") > 0).select("doc_id", "row", _lines_of(F.col("same")).alias("lines"))
     rest = met.where(F.size("other") > 0).select("doc_id", "row", "at", "left", "right", "lines", F.explode("other").alias("s"))
     content = F.concat(F.reverse(F.slice("left", F.lit(1), F.col("s.before"))), F.slice("right", F.lit(1), F.col("s.after") + 1))
-    rest = written(rest.select("doc_id", "row", "at", content.alias("content"), F.slice("lines", F.size("left") - F.col("s.before") + 1, F.col("s.before") + F.col("s.after") + 1).alias("lines")), "other-windows")
+    rest = rest.select("doc_id", "row", "at", content.alias("content"), F.slice("lines", F.size("left") - F.col("s.before") + 1, F.col("s.before") + F.col("s.after") + 1).alias("lines"))
     least = rest.groupBy("content").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y").select("content", "x")
     again = rest.join(written(least, "first-windows"), "content").where(place > F.col("x"))
     return gone.union(again.select("doc_id", "row", "lines"))
