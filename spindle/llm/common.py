@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -80,9 +80,22 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         gone, _WRITTEN[before:] = _WRITTEN[before:], []
-        for path in gone:
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _remove(spark, gone)
+
+
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What `make` returns, written; the tables that were written for it go."""
+    before = len(_WRITTEN)
+    out = written(make(), name)
+    gone, _WRITTEN[before:] = _WRITTEN[before:-1], _WRITTEN[-1:]
+    _remove(out.sparkSession, gone)
+    return out
 
 
 #: Rows of a broadcast table of a few fixed-width columns: some 50 MB in memory.

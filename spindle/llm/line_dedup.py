@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, table, unused, written
+from .common import SPACE_CLASS, settled, table, unused, written
 
 #: Characters in a window, at least.
 RUN_CHARS = 40
@@ -124,7 +124,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines as lines of one text would. An empty table gives an empty one. Extra columns pass through, also ones named as the columns that are made inside.
     """
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    gone = repeated_lines(src, run_chars).select("doc_id", "row", F.explode("lines").alias("line")).groupBy("doc_id", "row").agg(F.collect_set("line").alias("gone"))
+    gone = settled(lambda: repeated_lines(src, run_chars).select("doc_id", "row", F.explode("lines").alias("line")).groupBy("doc_id", "row").agg(F.collect_set("line").alias("gone")), "lines-to-delete")
     own_id, own_row, own_gone = (unused(docs, c) for c in ("__id", "__row", "__gone"))
     gone = gone.select(F.col("doc_id").alias(own_id), F.col("row").alias(own_row), F.col("gone").alias(own_gone))
     text = F.col(text_col).cast("string")
