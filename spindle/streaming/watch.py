@@ -6,7 +6,9 @@ batch that runs twice changes nothing. A burst of changes is a session window: i
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -25,8 +27,12 @@ OWN_FILES = r"(?:^|/)(?:_CURRENT|_LOCK|v\d+)(?:/|$)|-(?:wal|shm)$|\.(?:lock|crc)
 
 
 def workspace(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared folder of the cluster; a local one only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
+    """A new folder in the shared folder of the cluster; a local one only where none is set and the session runs on one machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -50,20 +56,71 @@ def watch(source: DataFrame, update: Callable[[DataFrame, int], None], checkpoin
 
 
 class ObservationTable:
-    """Observations in versioned folders; each batch writes the next version from the last and the new rows."""
+    """Observations in folders of versions, each of the months that a batch touched, whole.
+
+    A version counts once its manifest stands: a small file that names the version of every month, renamed into place
+    after the rows are written. A new object on the same folder, as after a restart, goes on from the last manifest; a batch
+    that runs again merges rows that are already there, which changes nothing; one that broke off left no manifest.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path, self.version = spark, path, -1
+        self.spark, self.path = spark, path.rstrip("/")
+        self._root = self._at("")
+        self._fs = self._root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def _named(self, pattern: str) -> list[int]:
+        """The numbers of the entries whose name is the pattern and a number."""
+        found = self._fs.globStatus(self._at(f"{pattern}*")) or []
+        names = [f.getPath().getName().removeprefix(pattern) for f in found]
+        return sorted(int(n) for n in names if n.isdigit())
+
+    @property
+    def version(self) -> int:
+        return max(self._named("manifest-"), default=-1)
+
+    def _manifest(self, version: int) -> dict[str, int]:
+        if version < 0:
+            return {}
+        return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(self._fs.open(self._at(f"manifest-{version}")), "UTF-8"))
+
+    def _months(self, manifest: dict[str, int]) -> DataFrame:
+        paths = [f"{self.path}/v{v}/month={m}" for m, v in sorted(manifest.items())]
+        return self.spark.read.schema(OBSERVATIONS).parquet(*paths) if paths else self.spark.createDataFrame([], OBSERVATIONS)
 
     def read(self) -> DataFrame:
-        if self.version < 0:
-            return self.spark.createDataFrame([], OBSERVATIONS)
-        return self.spark.read.schema(OBSERVATIONS).parquet(f"{self.path}/v{self.version}")
+        return self._months(self._manifest(self.version))
 
     def merge(self, new: DataFrame, batch: int) -> None:
-        """new: observations with `seq`. A batch that was merged before overwrites its own version with the same rows."""
-        recorded(self.read(), new).write.mode("overwrite").parquet(f"{self.path}/v{self.version + 1}")
-        self.version += 1
+        """new: observations with `seq`. Only the months of its days are read and written again."""
+        new = new.persist()
+        try:
+            month = F.substring("seen_date", 1, 7)
+            touched = [r["m"] for r in new.select(month.alias("m")).distinct().collect()]  # a row for each month
+            last = self.version
+            manifest = self._manifest(last)
+            old = self._months({m: v for m, v in manifest.items() if m in touched})
+            recorded(old, new).withColumn("month", month).repartition("month", F.pmod(F.xxhash64("node_id"), F.lit(8))).write.mode("overwrite").partitionBy("month").parquet(f"{self.path}/v{last + 1}")
+        finally:
+            new.unpersist()
+        written = self._at(f".manifest-{last + 1}")
+        out = self._fs.create(written, True)
+        out.write(bytearray(json.dumps(manifest | dict.fromkeys(touched, last + 1)).encode()))
+        out.close()
+        self._fs.rename(written, self._at(f"manifest-{last + 1}"))
+        self._forget(last)
+
+    def _forget(self, upto: int) -> None:
+        """Removes manifests before `upto`, which readers may still hold, and versions that neither it nor a later one names."""
+        kept = {v for n in self._named("manifest-") if n >= upto for v in self._manifest(n).values()}
+        for n in self._named("manifest-"):
+            if n < upto:
+                self._fs.delete(self._at(f"manifest-{n}"), False)
+        for v in self._named("v"):
+            if v not in kept:
+                self._fs.delete(self._at(f"v{v}"), True)
 
 
 def stream_to_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
