@@ -239,6 +239,8 @@ def compile_query(q: Query, nodes: DataFrame, edges: DataFrame) -> DataFrame:
             raise QueryError(f"no variable {var!r}", f"variable {var}")
         if prop is not None and prop not in sides[var].columns:
             raise QueryError(f"no property {prop!r}; there are: {', '.join(sides[var].columns)}", f"property {prop}")
+    if any(c.op == "NAMED" and c.var == q.edge.var for c in q.where):
+        raise QueryError("only nodes have names", "named edge")
     catalog = Catalog(nodes, edges)
     for p in (q.src, q.dst):
         if p.label is not None:
@@ -274,8 +276,6 @@ def run(text: str, nodes: DataFrame, edges: DataFrame) -> Answer:
     plan = compile_query(q, nodes, edges)
     for c in q.where:
         if c.op == "NAMED":
-            if c.var == q.edge.var:
-                raise QueryError("only nodes have names", "named edge")
             files = sorted(r["path"] for r in named_files(nodes, str(c.value)).select("path").limit(100).collect())
             if len(files) > 1:
                 return Answer("ambiguous", columns, None, [f"{c.value!r} names {len(files)} files"], files)
