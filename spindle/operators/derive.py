@@ -103,21 +103,47 @@ def mention_candidates(mentions: DataFrame, root: str) -> DataFrame:
     return mentions.select("node_key", "token", F.when(t.startswith("~"), F.array(home)).when(t.startswith("/"), F.array(normalise(t))).otherwise(F.array(beside, below)).alias("paths"))
 
 
+def _tokens(text: Column) -> Column:
+    """The runs of letters and digits of a text, in order; the first or last is empty where the text begins or ends between runs."""
+    return F.split(text, r"[^\p{L}\p{N}]+", -1)
+
+
 def _containing(bodies: DataFrame, names: DataFrame) -> DataFrame:
-    """Pairs of bodies (src_key, body) and names (dst_key, name) where the body holds the name.
+    """Pairs of bodies (src_key, body, ...) and names (dst_key, name, ...) where the body holds the name.
 
-    A few names go to every task. Many meet the bodies by a word: a name's longest run of letters and digits lies within a
-    run of the body, at its ends perhaps cut, so names are dealt by the trigram that begins it, and bodies by their distinct
-    trigrams; containment is then tested on these pairs only.
+    A few names go to every task. Many meet the bodies by a word. A run of letters and digits inside a name is a whole run of any
+    body that holds the name, so the name is keyed by that of its inner runs which the fewest bodies have. A name without an inner run,
+    as a base name, is keyed by its longest run, which lies within a run of the body: it is looked for in the vocabulary, by
+    trigrams, and stands for the words that it is found in. Bodies are cut into distinct words without copies of them, and joined
+    back by key for the test of the pairs that are left.
     """
     if names.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES:
         return bodies.join(F.broadcast(names), F.col("body").contains(F.col("name")))
-    key = F.substring("name", 1, 3)
-    keyed = names.where(F.length("name") >= 3).withColumn("g", key)
-    grams = bodies.withColumn("g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("body") - 2)), lambda i: F.substring(F.col("body"), i, F.lit(3))))))
-    long = grams.join(keyed, "g").where(F.col("body").contains(F.col("name"))).drop("g")
-    short = names.where(F.length("name") < 3)  # at most the pairs of characters there are
-    return long.unionByName(bodies.join(F.broadcast(short), F.col("body").contains(F.col("name"))))
+    names = names.where("name <> ''").distinct()
+    own = F.struct(*names.columns)
+    runs = _tokens(F.col("name"))
+    cut = names.select(own.alias("x"), F.filter(F.slice(runs, 2, F.greatest(F.size(runs) - 2, F.lit(0))), lambda t: t != "").alias("inner"), runs.alias("runs"))
+    longest = F.array_max(F.transform("runs", lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))).t
+    words = bodies.select("src_key", F.explode(F.array_distinct(_tokens(F.col("body")))).alias("word")).where("word <> ''")
+    vocabulary = words.groupBy("word").agg(F.count("*").alias("held"))
+
+    inner = cut.select("x", F.explode("inner").alias("word")).join(vocabulary, "word", "left")
+    rarest = inner.groupBy("x").agg(F.min(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "word")).alias("k")).where("k.held > 0")
+    by_word = rarest.select("x", "k.word")
+
+    edge = cut.where(F.size("inner") == 0).select("x", longest.alias("part"))
+    grams = F.transform(F.sequence(F.lit(1), F.length("word") - 2), lambda i: F.substring(F.col("word"), i, F.lit(3)))
+    parts = edge.where(F.length("part") > 2).withColumn("g", F.substring("part", 1, 3))
+    met = vocabulary.where(F.length("word") > 2).select("word", F.explode(F.array_distinct(grams)).alias("g")).join(parts, "g").where(F.col("word").contains(F.col("part")))
+    brief = edge.where(F.length("part").between(1, 2))
+    kinds = brief.select(F.col("part").alias("p")).distinct()  # at most the pairs of characters there are
+    within = vocabulary.select("word").join(F.broadcast(kinds), F.col("word").contains(F.col("p"))).join(brief, F.col("p") == F.col("part"))
+
+    keyed = by_word.unionByName(met.select("x", "word")).unionByName(within.select("x", "word"))
+    pairs = words.join(keyed, "word").select("src_key", "x").distinct()
+    found = bodies.join(pairs, "src_key").select(*bodies.columns, "x.*").where(F.col("body").contains(F.col("name")))
+    bare = edge.where("part = ''").select("x.*")  # names of marks only
+    return found.unionByName(bodies.join(bare, F.col("body").contains(F.col("name"))))
 
 
 def figures_for(texts: DataFrame, images: DataFrame) -> DataFrame:
