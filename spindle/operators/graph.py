@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..errors import AmbiguousKey
 from ..schema import LINKING_RELS
+from ..shared import kept, small
 
 #: Edges that may be broadcast in a walk's step, by count.
 BROADCAST_ROWS = 200_000
@@ -116,26 +117,31 @@ def resolve_key(nodes: DataFrame, key: str) -> str | None:
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
+    """(at, to, way, ...): every edge from either end, in one pass over the edges."""
     cols = [c for c in edges.columns if c not in ("src", "dst")]
-    return edges.select(F.col("src").alias("at"), F.col("dst").alias("to"), F.lit("out").alias("way"), *cols).union(edges.select("dst", "src", F.lit("in"), *cols))
+    ends = F.array(*[F.struct(F.col(x).alias("at"), F.col(y).alias("to"), F.lit(way).alias("way")) for x, y, way in (("src", "dst", "out"), ("dst", "src", "in"))])
+    return edges.select(F.explode(ends).alias("x"), *cols).select("x.*", *cols)
 
 
 def neighbours(nodes: DataFrame, edges: DataFrame, key: str, depth: int = 1, directed: bool = False) -> DataFrame:
     """(depth, node_key, neighbour_key, rel, way, confidence) of a walk from `key` that takes edges either way, or only forward.
 
-    Each node is expanded once; an edge shows once for each end that is expanded.
+    Each node is expanded once; an edge shows once for each end that is expanded. The walk is on ids; each level is written, so
+    that the next reads the edges once more and nothing else again. Keys are looked up at the end.
     """
-    steps = _both_ways(edges.select("src", "dst", "rel", "method", "confidence"))
+    steps = _both_ways(edges.select("src", "dst", "rel", "confidence"))
     steps = steps.where("way = 'out'") if directed else steps
-    frontier = nodes.where(F.col("node_key") == key).select(F.col("id").alias("at"))
+    frontier = kept(nodes.where(F.col("node_key") == key).select(F.col("id").alias("at")), "frontier")
     seen, out = frontier, None
     for level in range(1, depth + 1):
-        rows = steps.join(frontier, "at").withColumn("depth", F.lit(level))
+        rows = kept(steps.join(frontier, "at").withColumn("depth", F.lit(level)), "level")
         out = rows if out is None else out.unionByName(rows)
         if level < depth:
-            frontier = rows.select(F.col("to").alias("at")).distinct().join(seen, "at", "left_anti")
+            frontier = kept(rows.select(F.col("to").alias("at")).distinct().join(seen, "at", "left_anti"), "frontier")
             seen = seen.union(frontier)
     names = nodes.select("id", "node_key")
+    met = names.join(small(out.select(F.explode(F.array("at", "to")).alias("id")).distinct()), "id", "left_semi")
+    names = small(kept(met, "names"))
     return (
         out.join(names.select(F.col("id").alias("at"), "node_key"), "at")
         .join(names.select(F.col("id").alias("to"), F.col("node_key").alias("neighbour_key")), "to")
@@ -148,22 +154,26 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, src: str, dsts: list[str]
 
     Of several shortest paths the smallest by node keys is given, so every node carries one path only and a
     level is one join and one minimum, never a list of all paths. A path from a node to itself is the
-    shortest cycle through it.
+    shortest cycle through it. The walk is on ids; the ends of the edges and each level are written once, and a level's
+    keys are looked up for its nodes only. It ends where nothing new, or nothing more of `dsts`, is found.
     """
     keys = nodes.select("id", "node_key")
-    names = edges.select("src", "dst").distinct().join(keys.select(F.col("id").alias("src"), F.col("node_key").alias("a")), "src").join(keys.select(F.col("id").alias("dst"), F.col("node_key").alias("b")), "dst")
-    steps = names.select("a", "b").union(names.select("b", "a")).distinct()
-    level = keys.where(F.col("node_key") == src).select(F.col("node_key").alias("a"), F.array("node_key").alias("path"))
+    steps = kept(_both_ways(edges.select("src", "dst")).select("at", "to"), "steps")
+    start = keys.where(F.col("node_key") == src)
+    level = start.select(F.col("id").alias("at"), F.array("node_key").alias("path"))
+    asked = None if dsts is None else keys.where(F.col("node_key").isin(*dsts)).count()
     found = None
     for length in range(1, max_depth + 1):
-        grown = level.join(steps, "a").select(F.col("b"), F.array_append("path", F.col("b")).alias("path"))
-        grown = grown.groupBy("b").agg(F.min("path").alias("path"))
+        grown = level.join(steps, "at").groupBy(F.col("to").alias("id")).agg(F.min("path").alias("path"))
         if found is not None:
-            grown = grown.join(found.select("b"), "b", "left_anti")
-        grown = grown.withColumn("length", F.lit(length))
+            grown = grown.join(found.select("id"), "id", "left_anti")
+        grown = grown.join(keys, "id").select("id", "node_key", F.lit(length).alias("length"), F.array_append("path", F.col("node_key")).alias("path"))
+        grown = kept(grown, "level")
         found = grown if found is None else found.unionByName(grown)
-        level = grown.where(F.col("b") != src).select(F.col("b").alias("a"), "path")
-    out = found.select(F.col("b").alias("dst_key"), "length", "path")
+        if grown.isEmpty() or (asked is not None and found.where(F.col("node_key").isin(*dsts)).count() == asked):
+            break
+        level = grown.where(F.col("node_key") != src).select(F.col("id").alias("at"), "path")
+    out = found.select(F.col("node_key").alias("dst_key"), "length", "path")
     return out.where(F.col("dst_key").isin(*dsts)) if dsts is not None else out
 
 

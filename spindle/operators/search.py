@@ -40,21 +40,29 @@ def lengths(nodes: DataFrame) -> DataFrame:
 class Index:
     postings: DataFrame
     lengths: DataFrame
+    summed: DataFrame | None = None
 
     @classmethod
     def of(cls, nodes: DataFrame) -> Index:
         return cls(postings(nodes), lengths(nodes))
 
     def write(self, path: str) -> Index:
-        self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        """Postings sorted by term, so that a query reads those of its terms only, lengths by node, and the totals."""
+        self.postings.repartitionByRange("term").sortWithinPartitions("term", "node_id").write.mode("overwrite").parquet(f"{path}/postings")
         self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
         spark = self.postings.sparkSession
-        return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
+        lengths = spark.read.parquet(f"{path}/lengths")
+        lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg")).write.mode("overwrite").parquet(f"{path}/totals")
+        return Index.read(spark, path)
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> Index:
+        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"), spark.read.parquet(f"{path}/totals"))
 
     @cached_property
     def totals(self) -> tuple[int, float]:
         """Number of nodes and mean length."""
-        row = self.lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg")).first()
+        row = (self.lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg")) if self.summed is None else self.summed).first()
         return row["n"], row["avg"] or 0.0
 
     def stale(self, nodes: DataFrame) -> bool:

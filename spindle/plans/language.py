@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from ..errors import QueryError
 from ..functions.paths import ascii_fold, basename, stem
 from ..operators.graph import alive_on, provenance_note
+from ..shared import small
 
 #: What other query languages have and this one refuses.
 REFUSED = frozenset(
@@ -265,7 +266,7 @@ def compile_query(q: Query, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     e = e.select(F.col("src").alias("__s"), F.col("dst").alias("__d"), F.col("method").alias("__method"), F.col("confidence").alias("__confidence"), *wanted(q.edge.var))
     s = side(q.src, nodes).select(F.col("id").alias("__s"), *wanted(q.src.var))
     d = side(q.dst, nodes).select(F.col("id").alias("__d"), *wanted(q.dst.var))
-    joined = e.join(s, "__s").join(d, "__d")
+    joined = e.join(small(s), "__s").join(small(d), "__d")  # edges are shuffled by their ends only where nodes are too many
     return joined.select(*[F.col(f"`{v}.{p}`") for v, p in q.returns], F.col("__method").alias("method"), F.col("__confidence").alias("confidence"))
 
 

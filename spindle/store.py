@@ -33,6 +33,7 @@ class Store:
     tables: dict[str, DataFrame]
     metadata: dict[str, str] = field(default_factory=dict)
     path: str | None = None
+    at: str | None = None  # the folder of the version that the nodes are read from
 
     @classmethod
     def empty(cls, spark: SparkSession, model: str | None = None) -> Store:
@@ -47,7 +48,7 @@ class Store:
         meta = json.loads((at / "metadata.json").read_text())
         if int(meta.get("schema_version", 0)) > SCHEMA_VERSION:
             raise Refused(f"{path} has schema {meta['schema_version']}, newer than {SCHEMA_VERSION}")
-        return cls(spark, {n: spark.read.schema(s).parquet(str(at / n)) for n, s in TABLES.items()}, meta, path)
+        return cls(spark, {n: spark.read.schema(s).parquet(str(at / n)) for n, s in TABLES.items()}, meta, path, str(at))
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
@@ -56,7 +57,7 @@ class Store:
 
     def having(self, metadata: dict[str, str] | None = None, **tables: DataFrame) -> Store:
         checked = {n: t.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[n]]) for n, t in tables.items()}
-        return replace(self, tables=self.tables | checked, metadata=self.metadata | (metadata or {}))
+        return replace(self, tables=self.tables | checked, metadata=self.metadata | (metadata or {}), at=None if "nodes" in checked else self.at)
 
     def commit(self, path: str | None = None) -> Store:
         """Writes all tables and swaps the pointer; returns the store as read back."""
@@ -84,7 +85,18 @@ class Store:
         return Store.open(self.spark, path)
 
     def index(self) -> Index:
-        return Index.of(self.nodes)
+        """The index of the nodes. That of a committed version is written into its folder by the first search and read by later ones."""
+        if self.at is None:
+            return Index.of(self.nodes)
+        written = Path(self.at, "index")
+        if not written.is_dir():
+            made = Path(self.at, f"index.{uuid.uuid4().hex}")
+            Index.of(self.nodes).write(str(made))
+            try:
+                made.rename(written)
+            except OSError:  # another search was first
+                shutil.rmtree(made, ignore_errors=True)
+        return Index.read(self.spark, str(written))
 
     def get_node(self, key: str) -> dict | None:
         row = self.nodes.where(F.col("node_key") == key).first()

@@ -7,10 +7,6 @@ batch that runs twice changes nothing. A burst of changes is a session window: i
 from __future__ import annotations
 
 import json
-import os
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,22 +16,13 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.paths import basename
 from ..operators.temporal import recorded
 from ..schema import OBSERVATIONS
+from ..shared import workspace
 
 DEBOUNCE = "1500 milliseconds"
 #: A store's own files, which must not trigger it.
 OWN_FILES = r"(?:^|/)(?:_CURRENT|_LOCK|v\d+)(?:/|$)|-(?:wal|shm)$|\.(?:lock|crc)$"
 
 
-def workspace(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared folder of the cluster; a local one only where none is set and the session runs on one machine."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        shared = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def relevant(events: DataFrame, classifier=None) -> DataFrame:
     """Events (path, ...) that are neither of the store's own files nor of excluded paths."""
     own = events.where(~F.col("path").rlike(OWN_FILES) & ~basename(F.col("path")).isin("", "."))

@@ -17,6 +17,7 @@ from .operators import derive, graph, reports, search, state, temporal
 from .plans import filenames, language
 from .plans.classifier import Classifier
 from .schema import edge_confidence, node_id
+from .shared import workspace
 from .streaming.watch import stream_to_observations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -318,31 +319,42 @@ def _single(terms_: str) -> str:
     return f"select node_id, term as phrase, 1 as times, count(*) as f from d_tok where term in ({terms_}) group by node_id, term"
 
 
+_INDEXES: dict[tuple[str, str], search.Index] = {}
+
+
+def d_index(spark: SparkSession, d: str) -> search.Index:
+    """The index of the documents, written by the first search of a session, as a store keeps it."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        _INDEXES[key] = search.Index.of(d_nodes(spark, d)).write(workspace(spark, "index"))
+    return _INDEXES[key]
+
+
 @query(_bm25_sql(_single("'the', 'enes', 'inor'"), "where k = 3"))
 def fts_and(spark, d):
-    return search.bm25(search.Index.of(d_nodes(spark, d)), "the Enes inor").select("node_id", F.round("score", 9).alias("score"))
+    return search.bm25(d_index(spark, d), "the Enes inor").select("node_id", F.round("score", 9).alias("score"))
 
 
 @query(_bm25_sql(_single("'enes', 'eaux'"), ""))
 def fts_or(spark, d):
-    return search.bm25(search.Index.of(d_nodes(spark, d)), "enes eaux", "OR").select("node_id", F.round("score", 9).alias("score"))
+    return search.bm25(d_index(spark, d), "enes eaux", "OR").select("node_id", F.round("score", 9).alias("score"))
 
 
 @query(_bm25_sql("select node_id, 'of the' as phrase, 1 as times, count(*) as f from d_tok a join d_tok b using (node_id, col) where a.term = 'of' and b.term = 'the' and b.pos = a.pos + 1 group by node_id", ""))
 def fts_phrase(spark, d):
-    return search.bm25(search.Index.of(d_nodes(spark, d)), "of_the").select("node_id", F.round("score", 9).alias("score"))
+    return search.bm25(d_index(spark, d), "of_the").select("node_id", F.round("score", 9).alias("score"))
 
 
 @query(_bm25_sql(_single("'de', 'que'"), "where k = 2 and node_id in (select doc_id from documents where lang <> 'es' or lang is null)"))
 def fts_hidden_subtype(spark, d):
     nodes = d_nodes(spark, d)
-    scores = search.bm25(search.Index.of(nodes), "de que")
+    scores = search.bm25(d_index(spark, d), "de que")
     return scores.join(search.shown(nodes).select(F.col("id").alias("node_id")), "node_id").select("node_id", F.round("score", 9).alias("score"))
 
 
 @query(f"with {D.strip()} select count(*) as n, round(avg(len), 6) as mean_len, (select count(*) from (select distinct node_id, col, term from d_tok)) as postings, (select count(distinct term) from d_tok) as terms from d_len")
 def bm25_stats(spark, d):
-    index = search.Index.of(d_nodes(spark, d))
+    index = d_index(spark, d)
     a = index.lengths.agg(F.count("*").alias("n"), F.round(F.avg("len"), 6).alias("mean_len"))
     return a.crossJoin(index.postings.agg(F.count("*").alias("postings"), F.count_distinct("term").alias("terms")))  # one row each
 
