@@ -161,12 +161,12 @@ _match(
 )
 
 
-@query(f"with {G.strip()} select s.node_key, g_edges.rel from g_edges join g_nodes s on s.node_key = g_edges.src join g_nodes x on x.node_key = g_edges.dst where x.path like '/crm/suppliers/7.md' or x.node_key = 'nation:7'")
+@query(f"with {G.strip()} select s.node_key, g_edges.rel from g_edges join g_nodes s on s.node_key = g_edges.src join g_nodes x on x.node_key = g_edges.dst where regexp_matches(x.path, '/7[.][a-z]+$') or x.node_key = 'nation:7'")
 def match_named(spark, d):
     """The files named 7 (with or without extension), or the nation 7: sources of edges into either."""
     nodes, edges = g_nodes(spark, d), g_edges(spark, d)
     files = nodes.withColumn("node_key", F.coalesce("path", "node_key"))
-    named = language.named_files(files.where("kind = 'supplier'"), "7").select("id").union(nodes.where("node_key = 'nation:7'").select("id"))
+    named = language.named_files(files.where("path is not null"), "7").select("id").union(nodes.where("node_key = 'nation:7'").select("id"))
     met = edges.join(named.withColumnRenamed("id", "dst"), "dst", "left_semi")
     return met.join(nodes.select(F.col("id").alias("src"), "node_key"), "src").select("node_key", "rel")
 
@@ -191,10 +191,10 @@ def backlinks_asof(spark, d):
     return graph.backlinks(g_nodes(spark, d), g_edges(spark, d), "part:7", "CONTAINS", "1996-01-01")
 
 
-@query(f"with {G.strip()} select node_key from g_nodes where kind = 'customer' and node_key not in (select dst from g_edges where rel = 'AUTHORED_BY')")
+@query(f"with {G.strip()} select node_key from g_nodes where kind = 'customer' and node_key not in (select dst from g_edges where rel = 'AUTHORED_BY' and first_seen >= '1998-06-01')")
 def customers_without_orders(spark, d):
-    """Nodes of a kind that no edge of a relation enters."""
-    nodes, edges = g_nodes(spark, d), g_edges(spark, d).where("rel = 'AUTHORED_BY'")
+    """Nodes of a kind that no edge of a relation entered lately."""
+    nodes, edges = g_nodes(spark, d), g_edges(spark, d).where("rel = 'AUTHORED_BY' and first_seen >= '1998-06-01'")
     return nodes.where("kind = 'customer'").join(edges.select(F.col("dst").alias("id")), "id", "left_anti").select("node_key")
 
 
@@ -251,9 +251,9 @@ def isolated_share(spark, d):
     return graph.isolated_share(g_nodes(spark, d), g_edges(spark, d), ("customer", "order"))
 
 
-@query(f"with {G.strip()}, e as (select * from g_edges where rel = 'AUTHORED_BY') select node_key from g_nodes where kind = 'customer' and node_key not in (select dst from e) and node_key not in (select src from e)")
+@query(f"with {G.strip()}, e as (select * from g_edges where rel = 'AUTHORED_BY' and first_seen >= '1998-06-01') select node_key from g_nodes where kind = 'customer' and node_key not in (select dst from e) and node_key not in (select src from e)")
 def isolated_nodes(spark, d):
-    nodes, edges = g_nodes(spark, d), g_edges(spark, d).where("rel = 'AUTHORED_BY'")
+    nodes, edges = g_nodes(spark, d), g_edges(spark, d).where("rel = 'AUTHORED_BY' and first_seen >= '1998-06-01'")
     both = nodes.withColumn("kind", F.when(F.col("kind").isin("customer", "order"), "file").otherwise(F.col("kind")))
     return graph.isolated(both, edges, "file", ("AUTHORED_BY",)).where("node_key like 'customer:%'").select("node_key")
 
@@ -359,10 +359,11 @@ def bm25_stats(spark, d):
     return a.crossJoin(index.postings.agg(F.count("*").alias("postings"), F.count_distinct("term").alias("terms")))  # one row each
 
 
-@query("select doc_id as node_id from documents where doc_id % 7 = 3")
+@query("select doc_id as node_id from documents where doc_id not in (select doc_id from labels)")
 def fts_orphans(spark, d):
+    """Of a store whose nodes are the labelled documents only, the rows of the index of all."""
     nodes = d_nodes(spark, d)
-    return search.Index.of(nodes).orphans(nodes.where("id % 7 <> 3"))
+    return d_index(spark, d).orphans(nodes.join(table(spark, d, "labels").select(F.col("doc_id").alias("id")), "id", "left_semi"))
 
 
 _PROBE = "(select embedding from embeddings where vec_id = 0)"
@@ -401,10 +402,10 @@ def hybrid_rrf(spark, d):
     return search.rrf([("cos", ranked(a)), ("first", ranked(b))]).select("node_id", F.round("score", 12).alias("score"), F.array_join("sources", ",").alias("sources"))
 
 
-@query("select label % 3 as ns, count(*) as embedded from embeddings where vec_id % 5 <> 0 group by 1")
+@query("with t as (select count(*) as n from documents where coalesce(source, '') <> '' or coalesce(text, '') <> '') select label % 3 as ns, count(*) as embedded, (select n from t) as nodes_with_text, count(*) <> (select n from t) as stale from embeddings group by 1")
 def embedding_coverage(spark, d):
-    v = table(spark, d, "embeddings").where("vec_id % 5 <> 0").select(F.col("vec_id").alias("node_id"), F.lit("static").alias("provider"), (F.col("label") % 3).cast("string").alias("model"), F.lit(64).alias("dim"))
-    return search.coverage(d_nodes(spark, d), v).select(F.col("model").cast("int").alias("ns"), "embedded")
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("node_id"), F.lit("static").alias("provider"), (F.col("label") % 3).cast("string").alias("model"), F.lit(64).alias("dim"))
+    return search.coverage(d_nodes(spark, d), v).select(F.col("model").cast("int").alias("ns"), "embedded", "nodes_with_text", "stale")
 
 
 @query("select doc_id as node_id from documents where coalesce(text, '') <> '' and doc_id not in (select vec_id from embeddings where label < 6)")
