@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .config import Config
 from .errors import CannotUpdate, ModelUnavailable, Refused
-from .operators import graph, search
+from .operators import graph, search, state
 from .plans import build as plans
 from .plans import filenames, language, mesh
 from .plans.classifier import Classifier, load_rules, vendored_repositories
@@ -57,7 +57,8 @@ class Workspace:
         return files.stats(self.spark, self.config.root).join(own, "path", "left_semi")
 
     def contents(self, stats: DataFrame) -> DataFrame:
-        every = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(self.config.root)
+        """(path, content) of files that aren't large: the scan passes over the others by their length, without opening them."""
+        every = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(self.config.root).where(F.col("length") <= files.LARGE)
         return every.select(files.plain(F.col("path")).alias("path"), "content").join(stats.select("path"), "path", "left_semi")
 
     def parts(self, model: str, as_of: str) -> tuple[plans.Parts, DataFrame]:
@@ -102,6 +103,18 @@ class Workspace:
             self.cleared()
             return made
 
+    def pending(self, model: str) -> DataFrame:
+        """(path, change) of files that were added, edited or removed since the store was written, by size and time alone."""
+        stored = self.store(model).nodes.where("node_key = path").select("path", "size", "mtime", "content_hash")
+        return state.differences(stored, self.files(model), use_hash=False).where("change <> 'unchanged'")
+
+    def caught_up(self, model: str, as_of: str | None = None) -> bool:
+        """Updates a model if anything is pending; whether there was."""
+        if self.pending(model).isEmpty():
+            return False
+        self.update(model, as_of)
+        return True
+
     def build_mesh(self, as_of: str | None = None, code: bool = False, repository: str | None = None, prune: bool = False) -> tuple[Store, list[str]]:
         day = as_of or date.today().isoformat()
         listed = files.code_inventory(self.spark, self.config.root, self.classifier, code)

@@ -108,9 +108,8 @@ def _run(a: argparse.Namespace) -> int:
         s = getattr(w, a.command)(a.model, a.as_of)
         print(f"{s.nodes.count()} nodes, {s.edges.count()} edges")
     elif a.command == "watch":
-        w.update(a.model)
-        events = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(c.root).select(files.plain(F.col("path")).alias("path"))
-        streaming.watch(streaming.relevant(events, w.classifier), lambda _df, _n: w.update(a.model), os.path.join(a.stores, "_watch", a.model), a.debounce).awaitTermination()
+        w.caught_up(a.model)
+        streaming.watch_tree(spark, lambda: w.caught_up(a.model), os.path.join(a.stores, "_watch", a.model), a.debounce).awaitTermination()
     elif a.command == "query":
         found = w.query(a.model, a.text)
         print("\t".join(found.columns))

@@ -17,7 +17,7 @@ from ..sources import archives, documents, files, markdown
 from ..store import Store, as_edges, as_nodes
 from . import filenames
 
-FILE_REFS, CITED = 40, 40
+FILE_REFS, CITED, SHOWN_TABLES = 40, 40, 40
 
 
 @dataclass
@@ -126,14 +126,19 @@ def image_parts(spark: SparkSession, named: DataFrame, as_of: str, roots: tuple[
 def misc_parts(spark: SparkSession, stats: DataFrame, contents: DataFrame, as_of: str, root: str) -> Parts:
     """M4 from (path, size, mtime) and (path, content). Warm files are nodes; cold ones are counted by app and month."""
     kinds = contents.select("path", files.sniffed(F.col("content"), F.col("path")).alias("s"))
-    f = stats.join(kinds, "path", "left").select("path", "size", "mtime", F.coalesce("s.subtype", F.lit("unknown")).alias("subtype"), F.coalesce("s.detected", F.lit("unreadable")).alias("detected"), files.owning_app(F.col("path"), root).alias("app"))
+    large = F.col("size") > files.LARGE
+    kind = lambda field, big, else_: F.when(large, big).otherwise(F.coalesce(f"s.{field}", F.lit(else_))).alias(field)
+    f = stats.join(kinds, "path", "left").select("path", "size", "mtime", kind("subtype", "binary", "unknown"), kind("detected", "large", "unreadable"), files.owning_app(F.col("path"), root).alias("app"))
     warm, cold = cold_rollup(f, as_of)
-    w = _file_ids(warm)
-    listing = archives.listed(contents.join(warm.select("path"), "path", "left_semi"))
+    warm_contents = contents.join(warm.select("path"), "path", "left_semi")
+    w = _file_ids(warm.join(archives.schemas(warm_contents), "path", "left"))
+    listed_tables = F.concat(F.lit(" | tables: "), F.array_join(F.slice("tables", 1, SHOWN_TABLES), ", "))
+    body = F.concat(basename(F.col("path")), F.when(F.size("tables") > 0, listed_tables).otherwise(""))
+    listing = archives.listed(warm_contents)
     held = archives.archive_edges(listing)
     rollup = cold.withColumn("node_key", F.concat(F.lit("rollup:"), "app", F.lit(":"), "month"))
     nodes = [
-        w.select("node_key", F.lit("file").alias("kind"), "subtype", "path", basename(F.col("path")).alias("title"), "size", "mtime", F.lit("verbatim").alias("title_method")),
+        w.select("node_key", F.lit("file").alias("kind"), "subtype", "path", basename(F.col("path")).alias("title"), body.alias("body"), "size", "mtime", F.lit("verbatim").alias("title_method")),
         f.select(_key("app:", F.col("app")).alias("node_key"), F.lit("app").alias("kind"), F.col("app").alias("title")),
         w.select(_key("format:", F.col("detected")).alias("node_key"), F.lit("format").alias("kind"), F.col("detected").alias("title")),
         rollup.select("node_key", F.lit("rollup").alias("kind"), F.col("detected").alias("subtype"), F.concat_ws(" ", "files", F.lit("files,"), "bytes", F.lit("bytes")).alias("title"), F.col("bytes").alias("size")),

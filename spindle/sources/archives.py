@@ -53,6 +53,13 @@ def listed(files: DataFrame) -> DataFrame:
     return own.select("path", names("content").alias("names")).select("path", top_level(F.col("names")).alias("entries"))
 
 
+def schemas(files: DataFrame) -> DataFrame:
+    """files: (path, content) -> (path, tables) of SQLite files: names only, never a row."""
+    names = F.pandas_udf(lambda c: pd.Series([tables(bytes(x) if x is not None else None) for x in c]), "array<string>")
+    own = files.where(F.hex(F.substring("content", 1, 16)) == "53514C69746520666F726D6174203300")
+    return own.select("path", names("content").alias("tables"))
+
+
 def archive_edges(listings: DataFrame) -> DataFrame:
     each = listings.select("path", F.explode("entries").alias("e"))
     return each.select(F.col("path").alias("src_key"), F.concat(F.lit("archive:"), "path", F.lit("!"), "e").alias("dst_key"), F.lit("ARCHIVE_CONTAINS").alias("rel"), F.lit("exact").alias("method"))

@@ -11,6 +11,8 @@ from ..functions.paths import extension
 from ..plans.classifier import Classifier
 
 HEADER = 512
+#: Bytes from which a file is known by its metadata only; its content is never read.
+LARGE = 100 << 20
 # Leading bytes (hex), kind and type, in order of test.
 MAGIC = (
     ("53514C69746520666F726D6174203300", "database", "sqlite"), ("7F454C46", "binary", "elf"), ("504B0304", "archive", "zip"),

@@ -42,6 +42,14 @@ def watch(source: DataFrame, update: Callable[[DataFrame, int], None], checkpoin
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def watch_tree(spark: SparkSession, look: Callable[[], object], checkpoint: str, every: str = DEBOUNCE) -> StreamingQuery:
+    """Calls `look` at every tick. A stream of files knows new ones only; a look that compares a scan with what is stored sees edits
+    and removals too, catches up after any stop and joins what happened between two ticks. The store's own files are no matter,
+    as they aren't of any model's partition."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(lambda _df, _n: look() and None).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
 class ObservationTable:
     """Observations in folders of versions, each of the months that a batch touched, whole.
 

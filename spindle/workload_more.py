@@ -158,9 +158,9 @@ def shortlist_candidates(spark, d):
     return search.shortlist(d_index(spark, d), d_nodes(spark, d), "enes eaux", 1_000_000).select("node_id")
 
 
-@query("select vec_id, list_transform(embedding::double[], lambda x: round(x / (list_max(list_transform(embedding::double[], lambda y: abs(y))) / 127))::bigint) as codes from embeddings")
+@query("select vec_id, array_to_string(list_transform(embedding::double[], lambda x: round(x / (list_max(list_transform(embedding::double[], lambda y: abs(y))) / 127))::bigint), ',') as codes from embeddings")
 def quantised_vectors(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", vectors.quantised(F.col("embedding")).getField("values").cast("array<bigint>").alias("codes"))
+    return table(spark, d, "embeddings").select("vec_id", F.array_join(vectors.quantised(F.col("embedding")).getField("values").cast("array<string>"), ",").alias("codes"))
 
 
 # ---- time and state -------------------------------------------------------------------------------------------------

@@ -42,8 +42,8 @@ def corpus(tmp_path_factory):
     put(root, "notes/alone.md", "nothing links here")
     put(root, "docs/aa.tex", "\\title{Alpha}\n\\author{Ann B}\n text 10.1234/abc-1 and bb.tex\n")
     put(root, "docs/bb.tex", "\\title{Beta}\n\\author{Ann B}\n text\n")
-    put(root, "pics/trip/03122025_1.png")
-    put(root, "pics/trip/03122025_2.png")
+    put(root, "pics/trip/14032021_1.png")
+    put(root, "pics/trip/14032021_2.png")
     put(root, "pics/plot.png")
     put(root, "pics/plot_copy.png")
     put(root, "src/weave.py", "pass")
@@ -84,8 +84,8 @@ def test_other_models(work, corpus):
     a, b = f"{corpus}/docs/aa.tex", f"{corpus}/docs/bb.tex"
     assert (a, "SAME_AUTHOR", b) in m1 and (a, "CITES", "ref:doi:10.1234/abc-1") in m1 and m1[a, "REFERENCES_FILE", b] == "mention" and (a, "AUTHORED_BY", "author:Ann B") in m1
     p = f"{corpus}/pics"
-    assert (f"{p}/trip/03122025_1.png", "SERIES_MEMBER", "series:trip/03122025") in m2 and m2[f"{p}/plot.png", "LIKELY_COPY", f"{p}/plot_copy.png"] == "basename"
-    assert (f"{p}/trip/03122025_1.png", "NAMED_DATE", "date:2025-12-03") in m2 and (f"{p}/plot.png", "IN_COLLECTION", "collection:pics") in m2
+    assert (f"{p}/trip/14032021_1.png", "SERIES_MEMBER", "series:trip/14032021") in m2 and m2[f"{p}/plot.png", "LIKELY_COPY", f"{p}/plot_copy.png"] == "basename"
+    assert (f"{p}/trip/14032021_1.png", "NAMED_DATE", "date:2021-03-14") in m2 and (f"{p}/plot.png", "IN_COLLECTION", "collection:pics") in m2
     assert work.store("m2").nodes.where("content_hash is not null").count() == 0
     assert (f"{corpus}/etc/x.conf", "BELONGS_TO_APP", "app:etc") in m4 and ("rollup:etc:2020-09", "BELONGS_TO_APP", "app:etc") in m4
 
@@ -138,6 +138,61 @@ def test_update_equals_rebuild(spark, corpus, tmp_path):
         build.updated(Store.empty(spark, "m3"), build.Parts(updated.nodes, updated.edges), updated.nodes, "2026-01-01")
 
 
+def test_edits_and_removals_are_seen(spark, tmp_path):
+    from spindle.streaming.watch import watch_tree
+
+    root = str(tmp_path / "r")
+    for name in ("a.md", "b.md"):
+        put(root, name, f"[[{name[0]}]]")
+    w = Workspace(spark, config.Config(root), str(tmp_path / "s"), rules())
+    w.build("m3", "2026-01-01")
+    assert w.pending("m3").isEmpty() and not w.caught_up("m3")
+    put(root, "a.md", "[[b]] and more")
+    put(root, "c.md", "[[a]]")
+    os.remove(os.path.join(root, "b.md"))
+    assert {r["path"].rsplit("/", 1)[1]: r["change"] for r in w.pending("m3").collect()} == {"a.md": "changed", "b.md": "removed", "c.md": "added"}
+    looks = []
+
+    def look():
+        looks.append(w.caught_up("m3", "2026-01-02"))
+
+    q = watch_tree(spark, look, str(tmp_path / "checkpoint"), "1 second")
+    try:
+        for _ in range(60):
+            q.processAllAvailable()
+            if len(looks) > 1:
+                break
+    finally:
+        q.stop()
+    assert looks[:2] == [True, False] and w.pending("m3").isEmpty()
+    assert {r["node_key"].rsplit("/", 1)[1] for r in w.store("m3").nodes.where("kind = 'file'").collect()} == {"a.md", "c.md"}
+
+
+def test_large_files_and_databases(spark, tmp_path):
+    import sqlite3
+
+    root = str(tmp_path / "r")
+    put(root, "etc/x.conf", "a=1")
+    with sqlite3.connect(os.path.join(root, "etc", "y.sqlite")) as db:
+        db.execute("create table loom (id int)")
+        db.execute("create table warp (secret text)")
+        db.execute("insert into warp values ('row')")
+    with open(os.path.join(root, "etc", "big.bin"), "wb") as f:
+        f.truncate((100 << 20) + 1)
+    store = Workspace(spark, config.Config(root), str(tmp_path / "s"), rules()).build("m4", "2026-07-22")
+    got = {r["title"]: r for r in store.nodes.where("kind = 'file'").collect()}
+    assert got["y.sqlite"]["body"] == "y.sqlite | tables: loom, warp" and got["x.conf"]["body"] == "x.conf"
+    assert got["big.bin"]["subtype"] == "binary" and got["big.bin"]["content_hash"] is None
+    assert (f"{root}/etc/big.bin", "SAME_FORMAT", "format:large") in edges(store)
+
+
+def test_a_committed_store_keeps_its_index(work):
+    store = work.store("m3")
+    assert store.index().lengths.count() == store.nodes.count() and os.path.isdir(os.path.join(store.at, "index"))
+    assert "documents" not in store.index().postings._jdf.queryExecution().toString()
+    assert store.having(nodes=store.nodes.limit(1)).index().lengths.count() == 1
+
+
 def test_artifact_round_trip(spark, work, corpus, tmp_path):
     path = str(tmp_path / "x.graph")
     stores = work.stores(("m1", "m3"))
