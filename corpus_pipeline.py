@@ -32,7 +32,7 @@ def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group that links of similarity 0.8 or more over five-word windows reach: that of the smallest id, null last; of
+    """One row of each group that links of similarity 0.8 or more over five-word windows reach, met by SimHash in covering tables and verified: that of the smallest id, null last; of
     equal ids that of the smallest text hash, of equal rows any one. Only the numbers of the others are joined back."""
     rows = written(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
     groups = settled(lambda: near_groups(rows), "groups")

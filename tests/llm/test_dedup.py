@@ -1,6 +1,7 @@
 """Line, substring and SimHash dedup, decontamination: against brute force."""
 
 import hashlib
+import math
 from collections import defaultdict
 
 import numpy as np
@@ -9,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spindle.llm import decontaminate, line_dedup, simhash, substring_dedup
+from spindle.llm import decontaminate, jaccard, line_dedup, simhash, substring_dedup
 from spindle.llm.components import connected_components
 
 
@@ -326,3 +327,56 @@ def test_pipeline_links_texts_at_similarity_of_four_fifths(spark, make, texts):
     got = corpus_pipeline.stage_near(spark, make(rows), "")
     assert sorted(r["doc_id"] for r in got.collect()) == brute_firsts(rows)
     assert corpus_pipeline.stage_near(spark, make([]), "").count() == 0
+
+
+def test_wide_fingerprints_of_close_pairs_meet():
+    rng = np.random.default_rng(6)
+    hashes = rng.integers(0, 1 << 63, 700, dtype=np.uint64)
+    one = [(int(h) + int(s)) % (1 << 64) for h in hashes[:5] for s in jaccard._SALTS[:1]]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        one = [(x ^ x >> shift) * factor % (1 << 64) for x in one]
+    assert int(jaccard.fingerprint(hashes[:5], 2)[0]) == sum(1 << i for i in range(64) if 2 * sum(x >> i & 1 for x in one) > 5)
+    assert (jaccard.fingerprint(hashes, 9)[3:5] == jaccard.fingerprint(hashes, 2, 3)).all() and not jaccard.fingerprint(hashes[:0], 2).any()
+    for width in (3, 4, 6):
+        blocks = jaccard.blocks_for(width)
+        bits = 3 * width * blocks
+        for _ in range(100):  # as many differences as never part a pair, as evenly spread as they come
+            x = rng.integers(0, 2, 64 * -(-bits // 64)).astype(np.uint8)
+            y = x.copy()
+            spread = [3 * width * b + int(i) for b in range(blocks) for i in rng.choice(3 * width, 2, replace=False)]
+            y[rng.permutation(spread)[: 2 * blocks - 1]] ^= 1
+            a, b = jaccard.table_keys(np.stack([np.packbits(v, bitorder="little").view(np.uint64) for v in (x, y)]), width, blocks)
+            assert (a == b).any()
+
+
+def test_share_of_differing_bits_is_bounded():
+    drawn = lambda n: np.array([math.comb(n, k) / 2**n for k in range(n + 1)])
+    for a in range(4, 30):
+        for b in range(a, int(a / 0.8) + 1):
+            i = math.ceil(0.8 * (a + b) / 1.8 - 1e-9)  # the least common windows of sets of these sizes at 0.8
+            if i <= a:
+                up = lambda k, n: sum(p for j, p in enumerate(drawn(n - i)) if 2 * (k + j) > n)  # noqa: E731, B023
+                share = sum(p * (up(k, a) * (1 - up(k, b)) + up(k, b) * (1 - up(k, a))) for k, p in enumerate(drawn(i)))
+                assert share <= jaccard.differing(0.8, a)
+
+
+@pytest.mark.parametrize("width", [None, 5])
+def test_near_groups_of_crowds(make, width):
+    rng = np.random.default_rng(7)
+    rows = []
+    for g, changes in ((0, 3), (1, 5), (2, 9)):  # crowds of which most, some and few copies are within 0.8 of each other
+        for i in range(70):
+            copy = [f"g{g}w{j}" for j in range(160)]
+            for j in rng.choice(160, rng.integers(0, changes), replace=False):
+                copy[j] = f"c{g}x{i}y{j}"
+            rows.append((1000 * g + i, " ".join(copy)))
+    found = jaccard.near_groups(make(rows).select(F.col("doc_id").alias("row"), "text"), width=width).collect()
+    assert sorted({r["group"] for r in found}) == brute_firsts(rows) and len(found) == len(rows)
+
+
+def test_near_links_come_from_simhash_tables_alone(spark, make, monkeypatch):
+    rows = [(i, " ".join(f"w{j}" for j in range(100 + i))) for i in range(3)] + [(3, " ".join(f"w{j}" for j in range(100)))]
+    assert {r["doc_id"] for r in corpus_pipeline.stage_near(spark, make(rows), "").collect()} == {0}
+    tables = jaccard.buckets
+    monkeypatch.setattr(jaccard, "buckets", lambda *a: tables(*a).limit(0))
+    assert {r["doc_id"] for r in corpus_pipeline.stage_near(spark, make(rows), "").collect()} == {0, 1, 2}
