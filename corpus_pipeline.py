@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindle.llm.common import narrow, scratch, settled, shared_dir, table, written
+from spindle.llm.common import picked, scratch, settled, shared_dir, table, written
 from spindle.llm.decontaminate import decontaminate
 from spindle.llm.jaccard import near_groups
 from spindle.llm.line_dedup import line_dedup
@@ -38,10 +38,10 @@ def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = settled(lambda: near_groups(rows), "groups")
     places = rows.select("row", F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", F.xxhash64("text").alias("text"), "row").alias("place"))
     many = groups.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
-    crowd = groups.join(written(many, "groups-of-many"), "group").join(places, "row")
+    crowd = groups.join(written(many, "groups-of-many").hint("merge"), "group").join(places.hint("merge"), "row")
     firsts = written(crowd.groupBy("group").agg(F.min("place").alias("first")).select("first.row"), "firsts")
-    others = crowd.select("row").join(firsts, "row", "left_anti")
-    return rows.join(narrow(others, "others"), "row", "left_anti").select(*COLUMNS)
+    others = crowd.select("row").join(firsts.hint("merge"), "row", "left_anti")
+    return picked(rows, others, "others", others=True).select(*COLUMNS)
 
 
 def stage_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow, settled, written
+from .common import narrow, picked, settled, written
 from .components import connected_components
 from .simhash import covering_masks
 
@@ -132,10 +132,16 @@ def fingerprints(docs: DataFrame, k: int, words: int) -> DataFrame:
     return _sets(docs, k, made, "row long, same string, n int, fp binary, wide array<long>")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("row")).union(pairs.select("b"))
+
+
 def alike(pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
     """Those of `pairs` (a, b) whose WIDE words may be of sets that are `least` similar."""
-    side = lambda row, n, wide: prints.select(F.col("row").alias(row), F.col("n").alias(n), F.col("wide").alias(wide))
-    both = narrow(pairs, "pairs").join(side("a", "m", "x"), "a").join(side("b", "n", "y"), "b")
+    pairs = narrow(pairs, "pairs")
+    own = picked(prints.select("row", "n", "wide"), _ends(pairs), "ends-met")
+    side = lambda row, n, wide: own.select(F.col("row").alias(row), F.col("n").alias(n), F.col("wide").alias(wide))
+    both = pairs.join(side("a", "m", "x"), "a").join(side("b", "n", "y"), "b")
     differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     q, bits = F.lit(differing(least, math.inf)) + SMALL / F.least("m", "n"), 64 * WIDE
     return both.where(differ <= F.ceil(bits * q + DEVIATIONS * F.sqrt(bits * q * (1 - q)))).select("a", "b")
@@ -144,8 +150,7 @@ def alike(pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
 def verified(pairs: DataFrame, prints: DataFrame, docs: DataFrame, least: float, k: int) -> DataFrame:
     """Those of `pairs` (a, b) whose sets are `least` similar or more."""
     pairs = written(alike(pairs, prints, least), "alike")
-    ends = narrow(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), "ends")
-    sets = written(_sets(docs.join(ends, "row", "left_semi").select("row", "text"), k, lambda h: {"hs": h.view(np.int64).tolist()}, "row long, hs array<long>"), "shingle-sets")
+    sets = written(_sets(picked(docs.select("row", "text"), _ends(pairs), "ends"), k, lambda h: {"hs": h.view(np.int64).tolist()}, "row long, hs array<long>"), "shingle-sets")
     both = pairs.join(sets.select(F.col("row").alias("a"), F.col("hs").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("hs").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(shared >= least * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
@@ -155,10 +160,11 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint64).reshape(len(column), -1)
 
 
-def buckets(prints: DataFrame, width: int, least: float) -> DataFrame:
-    """(key, host, row, n, f0 ..): each set in every table, in its own size class (host) and in that of a quarter more.
+def buckets(prints: DataFrame, width: int, least: float, *more: str) -> DataFrame:
+    """(key, host, row, n, f0 .., more): each set in every table, in its own size class (host) and in that of a quarter more.
 
-    Sets too small to be similar to another one, at 0.8 those of less than four windows, are left out.
+    `more` are columns of `prints` that go with every row: the rows are many times those of `prints`, which no estimate of a plan
+    knows, so nothing is joined to them. Sets too small to be similar to another one, at 0.8 those of less than four windows, are left out.
     """
     blocks = blocks_for(width, least)
 
@@ -175,9 +181,10 @@ def buckets(prints: DataFrame, width: int, least: float) -> DataFrame:
                 keys = ((tables[None, :] << 6 | size[:, None].astype(np.int64)) << (3 * width)) | keys
                 out = [keys.ravel(), np.repeat(np.arange(len(who)) < len(n), len(tables))]
                 out += [np.repeat(c[who], len(tables)) for c in (row, n, *fps[:, -FILTER:].view(np.int64).T)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["key", "host", "row", "n", *[f"f{i}" for i in range(FILTER)]])
+                out = [pa.array(c) for c in out] + [c.take(pa.array(np.repeat(who, len(tables)))) for c in b.columns[3:]]
+                yield pa.RecordBatch.from_arrays(out, names=["key", "host", "row", "n", *[f"f{i}" for i in range(FILTER)], *more])
 
-    return prints.where(F.col("n") >= least / (1 - least) - 1e-9).select("row", "n", "fp").mapInArrow(run, "key long, host boolean, " + _NEAR)
+    return prints.where(F.col("n") >= least / (1 - least) - 1e-9).select("row", "n", "fp", *more).mapInArrow(run, ", ".join(["key long, host boolean, " + _NEAR, *[f"{c} {dict(prints.dtypes)[c]}" for c in more]]))
 
 
 class _Bucket:
@@ -323,7 +330,7 @@ def _met(keyed: DataFrame, least: float, width: int, proposed, name: str) -> tup
 
 def _placed(prints: DataFrame, marked: DataFrame, found: DataFrame, name: str) -> DataFrame:
     """(row, n, fp, component) of the marked rows."""
-    rows = prints.join(narrow(marked, "marked"), "row", "left_semi").join(found.withColumnRenamed("node", "row"), "row", "left")
+    rows = picked(prints.select("row", "n", "fp"), marked, "marked").join(found.withColumnRenamed("node", "row").hint("merge"), "row", "left")
     return written(rows.select("row", "n", "fp", F.coalesce("component", "row").alias("component")), name)
 
 
@@ -338,18 +345,18 @@ def near_groups(docs: DataFrame, least: float = LEAST, k: int = SHINGLE, width:
     words = -(-3 * width * blocks // 64) + FILTER
     prints = written(fingerprints(docs.select("row", F.col("text").cast("string").alias("text")), k, words), "fingerprints")
     reps = written(prints.groupBy("same").agg(F.min("row").alias("rep")), "set-reps")
-    kinds = written(prints.join(reps.select(F.col("rep").alias("row")), "row", "left_semi").select("row", "n", "fp", "wide"), "kinds")
+    kinds = written(prints.join(reps.select(F.col("rep").alias("row")).hint("merge"), "row", "left_semi").select("row", "n", "fp", "wide"), "kinds")
     tried, marked = _met(buckets(kinds, width, least), least, width, _near, "near-pairs")
     links = written(verified(tried, kinds, docs, least, k), "near-links")
     crowd = _placed(kinds, marked, settled(lambda: connected_components(links), "near-components"), "crowd")
-    best, marked = _met(buckets(crowd, width, least).join(crowd.select("row", "component"), "row"), least, width, _best, "best-pairs")
-    best = written(best.join(tried, ["a", "b"], "left_anti"), "best-untried")
+    best, marked = _met(buckets(crowd, width, least, "component"), least, width, _best, "best-pairs")
+    best = written(best.join(tried.hint("merge"), ["a", "b"], "left_anti"), "best-untried")
     links = written(links.union(verified(best, kinds, docs, least, k)), "best-links")
     crowd = _placed(kinds, marked, settled(lambda: connected_components(links), "best-components"), "crowd-left")
-    fine = _sets(docs.join(narrow(crowd.select("row"), "rows-left"), "row", "left_semi").select("row", "text"), k, lambda h: {"fine": fingerprint(h, FINE, words + WIDE).tobytes()}, "row long, fine binary")
-    marks = written(crowd.drop("n").join(fine, "row"), "fine-fingerprints")
-    cross, _ = _met(buckets(crowd, width, least).join(marks, "row"), least, width, _apart(width, blocks), "cross-pairs")
-    cross = written(cross.join(tried.union(best), ["a", "b"], "left_anti"), "cross-untried")
+    fine = _sets(picked(docs.select("row", "text"), crowd.select("row"), "rows-left"), k, lambda h: {"fine": fingerprint(h, FINE, words + WIDE).tobytes()}, "row long, fine binary")
+    marks = written(crowd.join(fine.hint("merge"), "row"), "fine-fingerprints")
+    cross, _ = _met(buckets(marks, width, least, "fp", "component", "fine"), least, width, _apart(width, blocks), "cross-pairs")
+    cross = written(cross.join(tried.union(best).hint("merge"), ["a", "b"], "left_anti"), "cross-untried")
     groups = connected_components(links.union(verified(cross, kinds, docs, least, k)))
-    labels = reps.join(groups, reps.rep == groups.node, "left").select("same", F.coalesce("component", "rep").alias("group"))
-    return prints.join(labels, "same").select("row", "group")
+    labels = reps.join(groups.hint("merge"), reps.rep == groups.node, "left").select("same", F.coalesce("component", "rep").alias("group"))
+    return prints.join(labels.hint("merge"), "same").select("row", "group")

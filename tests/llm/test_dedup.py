@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spindle.llm import decontaminate, jaccard, line_dedup, simhash, substring_dedup
+from spindle.llm import common, decontaminate, jaccard, line_dedup, simhash, substring_dedup
 from spindle.llm.components import connected_components
 
 
@@ -380,3 +380,36 @@ def test_near_links_come_from_simhash_tables_alone(spark, make, monkeypatch):
     tables = jaccard.buckets
     monkeypatch.setattr(jaccard, "buckets", lambda *a: tables(*a).limit(0))
     assert {r["doc_id"] for r in corpus_pipeline.stage_near(spark, make(rows), "").collect()} == {0, 1, 2}
+
+
+@pytest.mark.parametrize("bitmaps", [4096, 0])
+def test_rows_are_picked_by_number(spark, bitmaps):
+    numbers = [None, -(1 << 40), -32769, -32768, -9, -1, 0, 1, 7, 8, 9, 32767, 32768, 32769, 40000, 65536, 1 << 33, (1 << 33) + 5, (1 << 62) + 3]
+    df = spark.createDataFrame([(r, f"t{r}") for r in numbers], "row long, text string")
+    chosen = [r for i, r in enumerate(numbers) if i % 2] + [12, 12, 7]
+    rows = spark.createDataFrame([(r,) for r in chosen], "row long")
+    ids = lambda df: sorted((r["row"] is not None, r["row"]) for r in df.collect())
+    want = lambda keep: sorted((r is not None, r) for r in numbers if (r in chosen) == keep)
+    assert ids(common.picked(df, rows, "picked", bitmaps=bitmaps)) == want(True)
+    assert ids(common.picked(df, rows, "picked", others=True, bitmaps=bitmaps)) == want(False)
+
+
+def test_what_goes_to_every_task_is_bounded(spark):
+    """The driver holds a broadcast table; half a million numbers of a table numbered in order are a few kB, and as many pairs aren't broadcast."""
+    df = spark.range(1 << 20).withColumnRenamed("id", "row")
+    plan = common.picked(df, df.where("row % 2 = 0"), "half")
+    assert plan.count() == 1 << 19
+    sizes = [e.stats().sizeInBytes() for e in [plan._jdf.queryExecution().optimizedPlan().collectLeaves().apply(1)]]
+    assert "BroadcastHashJoin" in plan._jdf.queryExecution().toString() and max(sizes) < 1 << 20
+    pairs = spark.range(200_000).select(F.col("id").alias("a"), F.col("id").alias("b"))
+    assert "strategy=broadcast" not in common.narrow(pairs, "pairs")._jdf.queryExecution().toString()
+
+
+def test_rows_of_buckets_are_not_joined(spark, monkeypatch):
+    """A set has 51 rows or more in the buckets, so a plan that takes them for as small as the sets would send them to the driver."""
+    seen, met = [], jaccard._met
+    monkeypatch.setattr(jaccard, "_met", lambda keyed, *more: seen.append(keyed._jdf.queryExecution().optimizedPlan().toString()) or met(keyed, *more))
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base[:50] + [f"x{i}"] + base[51:])) for i in range(6)]
+    found = jaccard.near_groups(spark.createDataFrame(rows, "row long, text string")).collect()
+    assert {r["group"] for r in found} == {0} and len(seen) == 3 and not any("Join" in p for p in seen)
