@@ -1,16 +1,20 @@
 """Lexical, vector and hybrid search over an inverted index kept as a table.
 
-The index has one row for each node, field and term, with the term's positions; it is partitioned
-by nothing and sorted by term when written, so that a query reads the row groups of its terms.
+The index has one row for each node, field and term, with the term's positions. It is written in runs that are sorted by term,
+so that a query reads the pages of its terms in each run; making it shuffles nothing.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property, reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,16 +23,70 @@ from ..errors import EmbeddingRefused, Refused
 from ..functions.text import query_phrases, terms
 from ..functions.vectors import cosine
 from ..schema import HIDDEN_SUBTYPES
+from ..shared import small
 
 # Ranking constants, the fusion constant and the size of a shortlist.
+FIELDS = ["title", "body"]
 K1, B, RRF_K, SHORTLIST_TIMES, SHORTLIST_LEAST = 1.2, 0.75, 60, 5, 50
 
 
+#: Terms that are put in order at once when postings are made.
+RUN_TERMS = 2_000_000
+
+
+def _tokens(nodes: DataFrame) -> DataFrame:
+    """(node_id, title, body): the terms of both fields."""
+    return nodes.select(F.col("id").alias("node_id"), *[terms(F.col(c)).alias(c) for c in FIELDS])
+
+
+def _run(ids: pa.Array, fields: list[pa.Array]) -> pa.RecordBatch:
+    """The postings of some nodes in order of term, node and field; positions ascend."""
+    col = np.repeat(np.arange(len(fields), dtype=np.int8), [len(f.values) for f in fields])
+    counts = [np.diff(f.offsets.to_numpy()) for f in fields]
+    node = np.concatenate([np.repeat(np.arange(len(c), dtype=np.int32), c) for c in counts])
+    pos = np.concatenate([np.arange(len(f.values), dtype=np.int32) - np.repeat(f.offsets.to_numpy()[:-1], c).astype(np.int32) for f, c in zip(fields, counts, strict=True)])
+    coded = pa.chunked_array([f.values for f in fields]).combine_chunks().dictionary_encode()
+    rank = np.empty(len(coded.dictionary), np.int64)
+    rank[pc.array_sort_indices(coded.dictionary).to_numpy()] = np.arange(len(rank))
+    key = (rank[coded.indices.to_numpy()] * len(ids) + node) * len(fields) + col
+    order = np.argsort(key, kind="stable")  # positions are in order before
+    key = key[order]
+    starts = np.flatnonzero(np.concatenate([np.ones(min(len(key), 1), bool), key[1:] != key[:-1]]))
+    first = order[starts]
+    found = pa.ListArray.from_arrays(pa.array(np.append(starts, len(key)).astype(np.int32)), pa.array(pos[order]))
+    names = pa.array(FIELDS).take(pa.array(col[first]))
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(node[first])), names, coded.dictionary.take(coded.indices.take(pa.array(first))), found], names=["node_id", "col", "term", "positions"])
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (node_id, title, body) of terms -> their postings, a run of some RUN_TERMS terms at a time."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def run() -> pa.RecordBatch:
+        whole = pa.Table.from_batches(held).combine_chunks()
+        fields = [whole.column(c).combine_chunks() for c in FIELDS]
+        return _run(whole.column("node_id").combine_chunks(), [f.take(pa.array(np.arange(len(f)))) for f in fields])
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            held.append(part)
+            size += sum(len(part.column(c).flatten()) for c in FIELDS)
+            if size >= RUN_TERMS:
+                yield run()
+                held, size = [], 0
+    if held:
+        yield run()
+
+
 def postings(nodes: DataFrame) -> DataFrame:
-    """(node_id, col, term, positions) of titles and bodies."""
-    fields = F.array(*[F.struct(F.lit(c).alias("col"), terms(F.col(c)).alias("ts")) for c in ("title", "body")])
-    each = nodes.select(F.col("id").alias("node_id"), F.explode(fields).alias("x")).select("node_id", "x.col", F.posexplode("x.ts").alias("pos", "term"))
-    return each.groupBy("node_id", "col", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    """(node_id, col, term, positions) of titles and bodies, one row for each node's row, field and term.
+
+    A node's postings follow from its own row, so nothing is shuffled: each task puts those of some millions of terms in order at a time.
+    """
+    kind = dict(nodes.dtypes)["id"]
+    return _tokens(nodes).mapInArrow(_grouped, f"node_id {kind}, col string, term string, positions array<int>")
 
 
 def lengths(nodes: DataFrame) -> DataFrame:
@@ -47,8 +105,8 @@ class Index:
         return cls(postings(nodes), lengths(nodes))
 
     def write(self, path: str) -> Index:
-        """Postings sorted by term, so that a query reads those of its terms only, lengths by node, and the totals."""
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "node_id").write.mode("overwrite").parquet(f"{path}/postings")
+        """Postings in runs sorted by term, so that a query reads the pages of its terms only, lengths by node, and the totals."""
+        self.postings.write.mode("overwrite").parquet(f"{path}/postings")
         self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
         spark = self.postings.sparkSession
         lengths = spark.read.parquet(f"{path}/lengths")
@@ -70,6 +128,16 @@ class Index:
         ids = nodes.select(F.col("id").alias("node_id"))
         return not (self.lengths.join(ids, "node_id", "left_anti").limit(1).isEmpty() and ids.join(self.lengths, "node_id", "left_anti").limit(1).isEmpty())
 
+    def counted(self) -> DataFrame:
+        """One row (postings, terms): the distinct (node, field, term) and terms. Postings are distinct but for those of ids that several nodes have."""
+        kinds = self.postings.agg(F.count("*").alias("postings"), F.count_distinct("term").alias("terms"))
+        shared = self.lengths.groupBy("node_id").agg(F.count("*").alias("n")).where("n > 1")
+        if shared.limit(1).isEmpty():
+            return kinds
+        held = self.postings.join(small(shared.select(F.col("node_id").alias("id"))), F.col("node_id").eqNullSafe(F.col("id")), "left_semi")
+        more = held.groupBy("node_id", "col", "term").agg((F.count("*") - 1).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("more"))
+        return kinds.crossJoin(more).select((F.col("postings") - F.col("more")).alias("postings"), "terms")
+
     def orphans(self, nodes: DataFrame) -> DataFrame:
         """Index rows without a node."""
         return self.lengths.join(nodes.select(F.col("id").alias("node_id")), "node_id", "left_anti").select("node_id")
@@ -80,14 +148,14 @@ def phrase_hits(index: Index, phrase: list[str]) -> DataFrame:
     own = index.postings.where(F.col("term").isin(*set(phrase)))
     if len(phrase) == 1:
         return own.groupBy("node_id").agg(F.sum(F.size("positions")).cast("long").alias("f"))
-    by_term = own.groupBy("node_id", "col").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("m"))  # a phrase's terms at most
-    shifted = [_shift(t, i) for i, t in enumerate(phrase)]
-    met = reduce(F.array_intersect, shifted)
+    kinds = list(dict.fromkeys(phrase))
+    by_term = own.groupBy("node_id", "col").agg(*[F.flatten(F.collect_list(F.when(F.col("term") == t, F.col("positions")))).alias(f"t{i}") for i, t in enumerate(kinds)])
+    met = reduce(F.array_intersect, [_shift(f"t{kinds.index(t)}", i) for i, t in enumerate(phrase)])
     return by_term.select("node_id", F.size(met).alias("f")).groupBy("node_id").agg(F.sum("f").cast("long").alias("f")).where("f > 0")
 
 
-def _shift(term: str, i: int) -> Column:
-    return F.transform(F.coalesce(F.try_element_at("m", F.lit(term)), F.array().cast("array<int>")), lambda p: p - F.lit(i))
+def _shift(positions: str, i: int) -> Column:
+    return F.transform(positions, lambda p: p - F.lit(i))
 
 
 def _phrase_rows(index: Index, phrases: list[list[str]]) -> DataFrame:

@@ -3,6 +3,7 @@
 import pytest
 
 from spindle import workload, workload_more  # noqa: F401  the second adds queries to the first
+from spindle.operators import search
 
 duckdb = pytest.importorskip("duckdb")
 
@@ -34,3 +35,28 @@ def test_documents_without_a_text_are_not_missing(same):
     assert same("embed_missing_anti", documents=docs, embeddings=vec((5, 1), (1, 7))) == [(1,), (4,)]
     assert same("embed_missing_anti", documents=docs, embeddings=vec((5, 1), (None, 2))) == []
     assert len(same("embed_missing_anti", documents=docs, embeddings=vec((5, 7)))) == 4
+
+
+@pytest.mark.parametrize("name", ["fts_and", "fts_or", "fts_phrase", "fts_hidden_subtype", "shortlist_candidates", "fts_topk", "bm25_stats"])
+def test_searches_over_odd_texts(same, name):
+    long = "of the " * 700 + "de que enes of " * 300
+    docs = [(1, "the Enes inor, OF THE of the", "en", "eaux"), (2, "", "en", "de que"), (3, None, None, None), (4, long, "es", "of the"), (5, long, "en", "the of"), (6, "of\nthe d'Énes ... eaux", None, "s"), (7, "de_que ÉNES", "en", "de"), (8, "inor the enes", "en", None)]
+    docs += [(100 + i, f"w{i} " * (i % 5) + "de que the inor enes", "en", "s") for i in range(1200)]
+    same(name, documents=([(*x, 0) for x in docs], DOCUMENTS))
+
+
+def test_ids_of_several_documents_count_once(same):
+    docs = [(1, "a b a", "en", "s", 0), (1, "a c", "en", "s", 0), (2, "a", "en", "s", 0), (None, "a", "en", "s", 0), (None, "a d", "en", "s", 0)]
+    assert same("bm25_stats", documents=(docs, DOCUMENTS))[0][2] == 9
+
+
+def test_an_index_is_made_without_a_shuffle(spark, monkeypatch):
+    nodes = spark.createDataFrame([(i, "t", " ".join(f"w{(i * 7 + k) % 11}" for k in range(9))) for i in range(50)], "id long, title string, body string")
+    made = search.postings(nodes)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    want = sorted((r["id"], c, t, [k for k, x in enumerate(words) if x == t]) for r in nodes.collect() for c in ("title", "body") for words in [r[c].split()] for t in set(words))
+    assert sorted(map(tuple, made.collect())) == want
+    monkeypatch.setattr(search, "RUN_TERMS", 1)
+    batches = nodes.coalesce(1)
+    runs = list(search._grouped(iter(search._tokens(batches).toArrow().to_batches() * 2)))
+    assert all(r["term"].to_pylist() == sorted(r["term"].to_pylist()) for r in runs) and sum(r.num_rows for r in runs) == 2 * len(want)
