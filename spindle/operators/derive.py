@@ -10,6 +10,8 @@ from ..functions.paths import basename, dirname, normalise, shared_parts
 from ..functions.text import stands_alone
 
 CO_CHANGE_LEAST, COHORT_DAYS, COHORT_MODELS, BODY_LEAST = 3, 2, 2, 20
+#: Rows (commit, file) of a part in which commits are paired.
+PART_ROWS = 250_000
 #: Names that a containment join may hand to every task, by count; beyond it names meet bodies by their words.
 BROADCAST_NAMES = 50_000
 # Markers that a copy's stem carries.
@@ -189,14 +191,16 @@ def cohorts(nodes: DataFrame) -> DataFrame:
 def co_changes(commits: DataFrame, least: int = CO_CHANGE_LEAST) -> DataFrame:
     """commits: (sha, path) -> (a, b, shared, union): pairs of files with `least` shared commits or more, a < b.
 
-    Files with fewer commits than `least` can't be in a pair, so they go before commits are paired.
+    Files with fewer commits than `least` can't be in a pair, so they go before commits are paired. The number of parts follows
+    from the number of rows, so that the memory of a task, which sorts and pairs one, doesn't grow with the input.
     """
-    own = commits.select("sha", "path").distinct()
+    parts = max(1, -(-commits.count() // PART_ROWS))
+    own = commits.select("sha", "path").repartition(parts, "path").distinct()
     counts = own.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    own = own.join(counts, "path")
+    own = own.join(counts.hint("merge"), "path").repartition(parts, "sha")
     a = own.select("sha", F.col("path").alias("a"), F.col("n").alias("na"))
     b = own.select("sha", F.col("path").alias("b"), F.col("n").alias("nb"))
-    pairs = a.join(b, "sha").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    pairs = a.join(b.hint("merge"), "sha").where("a < b").repartition(2 * parts, "a", "b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
     return pairs.select("a", "b", "shared", (F.col("na") + F.col("nb") - F.col("shared")).alias("union"))
 
 

@@ -3,7 +3,7 @@
 import pytest
 
 from spindle import workload, workload_more  # noqa: F401  the second adds queries to the first
-from spindle.operators import search
+from spindle.operators import derive, search
 
 duckdb = pytest.importorskip("duckdb")
 
@@ -60,3 +60,19 @@ def test_an_index_is_made_without_a_shuffle(spark, monkeypatch):
     batches = nodes.coalesce(1)
     runs = list(search._grouped(iter(search._tokens(batches).toArrow().to_batches() * 2)))
     assert all(r["term"].to_pylist() == sorted(r["term"].to_pylist()) for r in runs) and sum(r.num_rows for r in runs) == 2 * len(want)
+
+
+def test_the_parts_of_co_change_follow_the_rows(spark, monkeypatch):
+    """What one task holds doesn't grow with the input, whatever the number of shuffle partitions."""
+    rows = [(c, p) for c in range(60) for p in range(12) if (c * p) % 5 < 3] * 2
+    commits = spark.createDataFrame(rows, "sha long, path long").cache()
+    whole = sorted(map(tuple, derive.co_changes(commits).collect()))
+    monkeypatch.setattr(derive, "PART_ROWS", 100)
+    split = derive.co_changes(commits)
+    parts = -(-len(rows) // 100)
+    assert whole and split.rdd.getNumPartitions() == 2 * parts > 12 and sorted(map(tuple, split.collect())) == whole
+    files = {}
+    for c, p in set(rows):
+        files.setdefault(p, set()).add(c)
+    assert whole == sorted((a, b, len(x & y), len(x | y)) for a, x in files.items() for b, y in files.items() if a < b and len(x & y) >= 3)
+    assert derive.co_changes(commits.limit(0)).count() == 0
